@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import sharding
+from . import sharding, suffix_dedup
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
+    "op10_suffix_dedup": suffix_dedup.op10_suffix_dedup,
 }
 ORACLE_SQL: dict[str, str] = {}
