@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import sharding, suffix_dedup
+from . import packing, sharding, simhash, suffix_dedup
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
+    "op5_simhash": simhash.op5_simhash,
+    "op9_packing": packing.op9_packing,
     "op10_suffix_dedup": suffix_dedup.op10_suffix_dedup,
 }
 ORACLE_SQL: dict[str, str] = {}
