@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import packing, sentencepiece_codec, sharding, simhash, suffix_dedup, url_filter
+from . import packing, secrets, sentencepiece_codec, sharding, simhash, suffix_dedup, url_filter
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
+    "op3_secrets": secrets.op3_secrets,
     "op5_simhash": simhash.op5_simhash,
     "op7_url_filter": url_filter.op7_url_filter,
     "op8_sentencepiece": sentencepiece_codec.op8_sentencepiece,
