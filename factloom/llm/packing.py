@@ -6,9 +6,9 @@ work on whole classes of equal lengths, so the plan is a bounded table of (patte
 take their places by their rank among the pieces of their length.  Ranks come from counts per (length, hash
 bucket) and a window inside each, so a length that a third of all pieces share is spread over the buckets.
 
-Tokens: a text's ids are those of its chunks between ASCII spaces, line feeds and tabs, because the
-tokenizer's normaliser, splitter and special tokens never reach over white space.  Each worker keeps the ids
-of the chunks it has met, up to a bound, and encodes the rest in batches.
+Tokens: a text's ids are those of its chunks between ASCII white space, because the tokenizer's normaliser,
+splitter and special tokens never reach over it; and a chunk's are those of the splitter's pieces.  Each worker
+keeps the ids of the chunks and pieces it has met, up to a bound, and encodes the rest in batches.
 
 Defined results: a null text is empty and still has its end token; repeated rows are packed separately;
 an empty table gives no sequences.
@@ -17,7 +17,10 @@ an empty table gives no sequences.
 from __future__ import annotations
 
 import os
+import re
+import sys
 import zlib
+from array import array
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 
@@ -31,23 +34,28 @@ from .common import checkpoint, table
 CAPACITY = 4096
 END = 1
 #: Chunks whose ids a worker keeps; it forgets all of them beyond that.
-CACHED = 400_000
+CACHED = 1_000_000
 #: Characters of text encoded at once.
 SLICE = 4 << 20
 BUCKETS = 256
 
+assert sys.byteorder == "little" and array("I").itemsize == 4
+
 _encoders: dict[str, ChunkEncoder] = {}
 
 
 class ChunkEncoder:
     """Ids of whole texts, as little-endian unsigned 32-bit bytes."""
 
+    #: The splitter's pieces, for ASCII text in lower case.
+    PIECES = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
+
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {"": b""}
+        self.known: dict[bytes, bytes] = {}
 
     @staticmethod
     def of(path: str) -> ChunkEncoder:
@@ -55,18 +63,31 @@ class ChunkEncoder:
             _encoders[path] = ChunkEncoder(path)
         return _encoders[path]
 
+    def _learn(self, fresh: list[bytes]) -> None:
+        known = self.known
+        for at in range(0, len(fresh), 10_000):
+            some = [c.decode() for c in fresh[at : at + 10_000]]
+            for c, e in zip(fresh[at : at + 10_000], self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
+                known[c] = array("I", e.ids).tobytes()
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        chunks = [t.replace("\n", " ").replace("\t", " ").split(" ") for t in texts]
+        # The normaliser makes A-Z small and drops white space anyway; so it may be done first.
+        chunks = [t.encode().lower().split() for t in texts]
         if len(self.known) > CACHED:
-            self.known = {"": b""}
+            self.known = {}
         known = self.known
-        fresh = list({c for own in chunks for c in own if c not in known})
-        for at in range(0, len(fresh), 10_000):
-            some = fresh[at : at + 10_000]
-            for c, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                known[c] = np.array(e.ids, "<u4").tobytes()
+        found = [list(map(known.get, own)) for own in chunks]
+        holes = [[i for i, x in enumerate(f) if x is None] if None in f else [] for f in found]
+        fresh = {own[i] for own, hole in zip(chunks, holes, strict=True) for i in hole}
+        cut = {c: self.PIECES.findall(c) for c in fresh if c.isascii() and b"<|" not in c}
+        self._learn(list({p for own in cut.values() for p in own if p not in known}))
         get = known.__getitem__
-        return [b"".join(map(get, own)) for own in chunks]
+        known.update({c: b"".join(map(get, own)) for c, own in cut.items() if len(own) > 1})
+        self._learn([c for c in fresh if c not in cut])
+        for own, f, hole in zip(chunks, found, holes, strict=True):
+            for i in hole:
+                f[i] = known[own[i]]
+        return [b"".join(f) for f in found]
 
 
 def _slices(texts: list[str | None], most: int) -> Iterator[tuple[int, list[str]]]:
