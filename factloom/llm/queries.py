@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import packing, quality, secrets, sentencepiece_codec, sharding, simhash, suffix_dedup, url_filter
+from . import ann, packing, quality, secrets, sentencepiece_codec, sharding, simhash, suffix_dedup, toxicity, url_filter
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
+    "op2_toxicity": toxicity.op2_toxicity,
     "op3_secrets": secrets.op3_secrets,
+    "op4_ann": ann.op4_ann,
     "op5_simhash": simhash.op5_simhash,
     "op6_quality": quality.op6_quality,
     "op7_url_filter": url_filter.op7_url_filter,
