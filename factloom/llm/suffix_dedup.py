@@ -45,8 +45,8 @@ from .common import shuffle_partitions, table
 LENGTH = 50
 GRAM = 20
 #: Bytes of text handled at once inside a block, and of a block.
-CHUNK = 2 << 20
-BLOCK = 24 << 20
+CHUNK = 1 << 20
+BLOCK = 8 << 20
 #: Segments per batch of a level family.
 BATCH = 100_000
 #: Blocks that must hold a hash before its strings are dealt out by themselves.
@@ -61,6 +61,7 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the odd multiplier modulo 2**64, and of its inverse."""
     global _powers
     if _powers is None or len(_powers[0]) < n:
+        n = max(n, 2 * CHUNK)
         out = []
         for base in (_MULTIPLIER, np.uint64(pow(int(_MULTIPLIER), -1, 1 << 64))):
             p = np.full(n, base, np.uint64)
@@ -130,7 +131,9 @@ def _runs(pieces: list, data: np.ndarray, length: int, gram: int) -> tuple[np.nd
     count = np.minimum(np.r_[edge[1:], n], last) - edge
     rows = np.array([p[0] for p in pieces])[piece[edge]]
     offset = np.array([p[1] - p[2] for p in pieces])[piece[edge]] + edge
-    return low[edge], rows, offset, edge, count
+    # Minima are small numbers: mixed again, so that they spread over the reducers.
+    least = low[edge]
+    return (least ^ (least >> np.uint64(29))) * _MULTIPLIER, rows, offset, edge, count
 
 
 def _packed(*arrays: np.ndarray) -> bytes:
@@ -505,9 +508,10 @@ def suffix_dedup(docs: DataFrame, finish: Callable, kept: list[str], key: str =
     by_block = rows.groupBy("__block")
     body = "bucket int, block int, body binary"
     sent = by_block.applyInArrow(_hashes_of_block(keys, text, buckets, length, gram), body)
-    flags = sent.groupBy("bucket").applyInArrow(_shared, "block int, bucket int, body binary")
+    # Dealt out by count, as the packed rows' sizes say little about the work in them.
+    flags = sent.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_shared, "block int, bucket int, body binary")
     segments = by_block.cogroup(flags.groupBy("block")).applyInArrow(_segments_of_block(keys, text, buckets, length, gram), body)
-    found = segments.groupBy("bucket").applyInArrow(_match(length), "block int, body binary")
+    found = segments.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_match(length), "block int, body binary")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*kept).schema.fields)
     return by_block.cogroup(found.groupBy("block")).applyInArrow(_cut_block(keys, text, kept, finish), f"{fields}, {finish.ddl}")
 
