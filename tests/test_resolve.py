@@ -1,0 +1,123 @@
+"""Names to documents over a small web of pages: copying shops, a sibling model, a datasheet, a late forum page."""
+
+import json
+
+import pytest
+from pyspark.sql import functions as F
+
+from factloom.operators import guard
+from factloom.plans import evaluate as E
+from factloom.plans import resolve as R
+from factloom.sources import leads as L
+
+MODEL = "TX 18V-50 HD"
+GTIN = "4006381333931"
+
+
+def rows_table(*rows):
+    return "<table>" + "".join(f"<tr><td>{k}</td><td>{v}</td></tr>" for k, v in rows) + "</table>"
+
+
+def shop(name, price):
+    ld = {"@context": "https://schema.org", "@type": "Product", "name": f"Makita {MODEL}", "brand": "Makita", "offers": {"price": price, "priceCurrency": "EUR", "availability": "https://schema.org/InStock"}, "image": [f"https://{name}/1.jpg"]}
+    facts = rows_table(("Voltage", "18 V"), ("Max. torque", "60 Nm"), ("Weight", "1.9 kg"), ("Warranty", "12 months"), ("Color", "Teal"), ("No-load speed", "2100 rpm"))
+    return f"<html><head><script type='application/ld+json'>{json.dumps(ld)}</script></head><body><h1>Makita {MODEL}</h1>{facts}<p>See also TX 18V-50</p></body></html>"
+
+
+MAKER = {"@type": "Product", "name": f"{MODEL} drill", "brand": {"name": "Makita"}, "mpn": "MK 0815 X", "gtin13": GTIN, "weight": {"value": 1.2, "unitCode": "kg"}}
+PAGES = {
+    "https://maker.example/tx": ("A", f"<html><head><script type='application/ld+json'>{json.dumps(MAKER)}</script></head><body><h1>{MODEL}</h1>{rows_table(('Voltage', '18 V'), ('Max. torque (hard/soft)', '70 / 40 Nm'), ('No-load speed', '2,100 rpm'), ('Motor type', 'Brushless'))}</body></html>"),
+    "https://facts.example/tx": ("B", f"<html><body><h1>Makita {MODEL}</h1><dl><dt>Max. torque hard</dt><dd>70 Nm</dd><dt>Weight</dt><dd>1200 g</dd><dt>Voltage</dt><dd>18 V</dd><dt>EAN</dt><dd>{GTIN}</dd></dl></body></html>"),
+    "https://shop-a.example/tx": ("C", shop("shop-a.example", 99)), "https://shop-b.example/tx": ("C", shop("shop-b.example", 98)), "https://shop-c.example/tx": ("C", shop("shop-c.example", 97)),
+    "https://shop-d.example/tx50": ("C", f"<html><body><h1>Makita TX 18V-50</h1>{rows_table(('Weight', '9 kg'), ('Voltage', '18 V'))}</body></html>"),
+    "https://forum.example/tx": ("D", f"<html><body><h1>Makita {MODEL}</h1><p>Long thread in which people who own one say what it gave them: Warranty: 3 years</p></body></html>"),
+}
+SHEET = f"Makita {MODEL}\nTechnical data\nVoltage: 18 V\nMax. torque (hard/soft): 70 / 40 Nm\nWeight excl. battery: 1.2 kg\nChuck capacity: 1.5 - 13 mm"
+
+
+@pytest.fixture(scope="module")
+def resolved(spark):
+    index = [(u, None, t, None, None, ["warranty"] if "forum" in u else ["tx18v50"], ["tx18v50hd"] if "forum" in u else None, [GTIN] if "maker" in u else None) for u, (t, _) in PAGES.items()]
+    index.append(("https://maker.example/tx.pdf", None, "A", None, None, ["datasheet", "technical data"], ["TX 18V-50 HD"], None))
+    index = spark.createDataFrame([(i, *r) for i, r in enumerate(index)], "lead_ord int, url string, file string, tier string, title string, snippet string, match_any array<string>, require_all array<string>, ids array<string>")
+    local = [(u, "text/html; charset=utf-8", bytearray(h.encode()), None) for u, (_, h) in PAGES.items()] + [("https://maker.example/tx.pdf", "application/octet-stream", bytearray(b"%PDF-1.4 x"), SHEET)]
+    local = spark.createDataFrame(local, "url string, mime string, data binary, text string")
+    names = spark.createDataFrame([("one", f"Makita {MODEL} solo", "tools/power_tools"), ("none", "Fluke 17B", None)], "product_id string, name string, hint_category string")
+    seen = []
+    out = R.resolve(spark, names, index, local, now="2026-01-01T00:00:00Z", on_round=lambda n, _: seen.append(n))
+    out["docs"] = {r["product_id"]: json.loads(r["json"]) for r in out["documents"].collect()}
+    out["seen"] = seen
+    return out
+
+
+def test_identity(resolved):
+    i = resolved["docs"]["one"]["identity"]
+    assert i["mpn"]["value"] == "MK 0815 X" and i["gtins"]["value"] == [GTIN] and i["status"] == "resolved" and i["canonical_name"] == f"Makita {MODEL}"
+
+
+def test_copied_error_loses(resolved):
+    f = resolved["docs"]["one"]["attributes"]["max_torque_hard_nm"]
+    assert (f["status"], f["value"]) == ("verified", 70) and f["candidates"][0]["value"] == "60" and "copy-chain" in f["candidates"][0]["rejected_reason"]
+    w = resolved["docs"]["one"]["core"]["weight_g"]
+    assert w["value"] == 1200 and w["resolution"]["independent_votes"] >= 2 and "1900" in [c["value"] for c in w["candidates"]]
+
+
+def test_sibling_excluded(resolved):
+    assert "shop-d.example" not in json.dumps({k: v for k, v in resolved["docs"]["one"].items() if k in ("core", "attributes")})
+
+
+def test_second_round(resolved):
+    d = resolved["docs"]["one"]
+    assert d["meta"]["rounds"] >= 2 and resolved["seen"][:2] == [1, 2]
+    w = d["core"]["warranty_months"]
+    assert w["status"] == "conflict" and w["value"] is None and {c["value"] for c in w["candidates"]} == {"12", "36"}
+    assert next(u for u in d["unresolved"] if u["field"] == "core.warranty_months")["search_log"]
+
+
+def test_grounded_and_contract(resolved):
+    for section in ("core", "attributes"):
+        for f in resolved["docs"]["one"][section].values():
+            assert f["value"] is None or any(s["snippet"] for s in f["sources"])
+    assert guard.violations(resolved["resolved"]).count() == 0
+    assert {f["status"] for f in resolved["docs"]["none"]["core"].values()} == {"unknown"} and resolved["docs"]["none"]["identity"]["status"] == "unresolved"
+
+
+def test_offers_media_ledger(resolved):
+    d = resolved["docs"]["one"]
+    assert sorted(o["price"] for o in d["offers"]) == [97.0, 98.0, 99.0] and {o["seller"] for o in d["offers"]} >= {"shop-a.example"} and d["media"]["documents"][0]["kind"] == "datasheet" and len(d["media"]["images"]) == 3
+    weights = {(r["domain"], r["field"]): (r["alpha"], r["beta"]) for r in resolved["ledger"].collect()}
+    assert weights["shop-a.example", "weight_g"][1] == 2.0 and weights["maker.example", "weight_g"][0] >= 2.0
+
+
+def test_evaluation(spark, resolved, tmp_path):
+    golden = {"id": "one", "name": "x", "expected": {"identity": {"mpn": "mk 0815 x"}, "fields": {"core.weight_g": 1210, "attributes.voltage_v": 18, "core.color": "teal", "core.length_mm": 5}, "forbidden": {"attributes.max_torque_hard_nm": [60]}, "expected_status": {"core.warranty_months": "conflict"}}}
+    (tmp_path / "g.jsonl").write_text(json.dumps(golden) + "\n\n")
+    (tmp_path / "b.jsonl").write_text("\n".join(json.dumps({"id": "one", "fields": f}) for f in ({"core.weight_g": 1}, {"core.weight_g": 1200, "attributes.max_torque_hard_nm": 60, "_note": "x"})))
+    items = E.golden_items(spark, str(tmp_path / "g.jsonl"))
+    r = resolved["resolved"].where("product_id = 'one'")
+    fields = r.select(F.lit("one").alias("id"), F.concat("section", F.lit("."), "field").alias("path"), "value", "status", "raw", F.transform("sources", lambda s: s["snippet"]).alias("snippets"))
+    a = resolved["anchors"].where("product_id = 'one'").select(F.lit("one").alias("id"), F.lit("mpn").alias("path"), F.col("mpn").alias("value"))
+    bad = E.entries(items, "forbidden", "array<string>").select("id", "path", F.explode("truth").alias("truth"))
+    m = E.metrics(E.score(fields, a, E.entries(items, "fields"), bad, E.entries(items, "expected_status"), E.entries(items, "identity"))).first()
+    assert m["gate"] and m["covered"] == 3 and m["fields_expected"] == 4 and m["entity_ok"] == 1 and m["status_ok"] == 1 and m["fabricated"] == 0 and m["verified_precision"] == 1.0
+    b = E.score_baseline(E.baseline_answers(spark, str(tmp_path / "b.jsonl")), E.entries(items, "fields"), bad).first()
+    assert (b["covered"], b["correct"], b["forbidden_hits"]) == (1, 1, 1)
+
+
+def test_sources(spark, tmp_path):
+    html = "<div class='result'><a class='result__a' href='https://x/1'>T<b>1</b></a><a class='result__snippet'>S</a></div><div class='result'><a class='result__a'>no</a></div>"
+    bodies = {"duckduckgo": html, "brave": '{"web":{"results":[{"url":"https://x/2","title":"t"}]}}', "serper": '{"organic":[{"link":"https://x/3"}]}', "wikidata": '{"search":[{"id":"Q1","label":"l"}]}', "wayback": '[["timestamp","original"],["2020","http://y/"]]'}
+    rows = [(c, "q", 200, b) for c, b in bodies.items()] + [("brave", "q", 500, "x"), ("serper", "q", 200, "{bad")]
+    responses = spark.createDataFrame(rows, "connector string, query string, status int, body string")
+    got = {r["connector"]: (r["url"], r["tier"]) for r in L.recorded_search(spark.createDataFrame([("p", 0, "q")], "product_id string, query_ord int, text string"), responses).collect()}
+    assert got == {"duckduckgo": ("https://x/1", None), "brave": ("https://x/2", None), "serper": ("https://x/3", None), "wikidata": ("https://www.wikidata.org/wiki/Special:EntityData/Q1.json", "B"), "wayback": ("https://web.archive.org/web/2020id_/http://y/", "A")}
+    assert [r["warning"] for r in L.failed_connectors(responses).collect()] == ["connector brave failed"]
+    (tmp_path / "index.json").write_text(json.dumps({"leads": [{"url": "https://a/", "file": "a.html", "tier": "A", "match_any": ["x"]}, {"url": "https://b/", "file": "b.html", "tier": "B", "match_any": [], "ids": ["1"]}]}))
+    index = L.fixture_index(spark, str(tmp_path / "index.json"))
+    assert [r["lead_ord"] for r in index.orderBy("lead_ord").collect()] == [0, 1]
+    L.write_cache(spark.createDataFrame([("https://A.example/?utm_source=1", "https://a.example/", 200, "text/html", bytearray(b"<p>hi")), ("https://b.example/", "https://b.example/", 404, "text/html", bytearray(b"no"))], "url string, final_url string, status int, mime string, data binary"), str(tmp_path / "cache"))
+    want = spark.createDataFrame([("https://a.example/",), ("https://b.example/",), ("https://c.example/",)], "url string")
+    pages = L.build_pages(L.fetch(want, spark.createDataFrame([], "url string, mime string, data binary"), spark.read.parquet(str(tmp_path / "cache")))).collect()
+    assert [(p["url"], p["html"], p["mime"]) for p in pages] == [("https://a.example/", "<p>hi", "text/html")]
+    spark.dataSource.register(L.SearchSource)
+    assert spark.read.format("factloom_search").option("connector", "brave").option("queries", "[]").load().columns == ["connector", "query", "status", "body"]

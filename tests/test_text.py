@@ -1,0 +1,88 @@
+"""Scalar functions on their published cases."""
+
+import pytest
+from pyspark.sql import functions as F
+
+from factloom.dims import ATTRIBUTES, UNITS
+from factloom.functions import html as H
+from factloom.functions import text as T
+from factloom.operators import understand as U
+
+
+def apply(spark, f, rows, ddl="a string"):
+    df = spark.createDataFrame([(i, *(r if isinstance(r, tuple) else (r,))) for i, r in enumerate(rows)], "i int, " + ddl)
+    return [r["x"] for r in df.select("i", f(*[F.col(c) for c in df.columns[1:]]).alias("x")).orderBy("i").collect()]
+
+
+def test_gtins(spark):
+    assert apply(spark, T.gtin_checksum_ok, ["3165140876643", "3165140876644", "123", None]) == [True, False, False, False]
+    assert apply(spark, T.normalize_gtin, ["0 316514 087664 3", "316514087664", "", None])[0] == "3165140876643"
+    assert apply(spark, T.find_gtins, ["a 3165140876643 b 1234567890123 c 3165140876643 d 03165140876643"]) == [["3165140876643"]]
+
+
+def test_numbers(spark):
+    cases = {"1,750": 1750, "0.59": 0.59, "0,59": 0.59, "1.234,56": 1234.56, "1,234.56": 1234.56, "1.750": 1.75, "1 750": 1750, "0,590": 590, "1,2,3": None, "-4,5": -4.5, "x": None}
+    assert apply(spark, T.parse_number, list(cases)) == list(cases.values())
+
+
+def test_values(spark):
+    spec = {a["key"]: a for own in ATTRIBUTES.values() for a in own}
+    cases = [("0.59 kg", "weight_g", 590), ("2.65 lb", "weight_g", 1202.0188), ("12 V", "voltage_v", 12), ("0 – 1,750 rpm", "no_load_speed_rpm", 1750), ("3 years", "warranty_months", 36), ("24 місяці", "warranty_months", 24), ("12 kg", "voltage_v", None),
+             ("5000 mAh", "battery_capacity_ah", 5), ("6.1 in", "display_in", 6.1), ("10-15 kg", "weight_g", 15000), ("24", "warranty_months", 24), ("", "weight_g", None)]
+    rows = [(raw, spec[k]["kind"], spec[k]["unit"], k) for raw, k, _ in cases]
+    got = apply(spark, T.normalize_value, rows, "a string, b string, c string, d string")
+    assert [None if g is None else g["num"] for g in got] == [None if c[2] is None else pytest.approx(c[2]) for c in cases]
+    words = [("Brushless (EC)", "enum", "motor_type", "brushless"), ("Щітковий", "enum", "motor_type", "brushed"), ("  Two   words ", "string", "color", "Two words")]
+    assert [g["str"] for g in apply(spark, T.normalize_value, [(r, k, None, f) for r, k, f, _ in words], "a string, b string, c string, d string")] == [w[3] for w in words]
+    bools = [("Yes", True), ("12 V", True), ("not included", False), ("notebook", False), ("maybe", None), ("ТАК", True)]
+    assert [g and g["bool"] for g in apply(spark, T.normalize_value, [(r, "bool", None, "battery_included") for r, _ in bools], "a string, b string, c string, d string")] == [b for _, b in bools]
+    assert apply(spark, T.normalize_value, [("Tool; case, • bits", "list", None, "in_the_box")], "a string, b string, c string, d string")[0]["list"] == ["Tool", "case", "bits"]
+
+
+def test_strings(spark):
+    assert apply(spark, T.canonical_string, ["  Foo--Bar / Baz! ", "STRASSE straße", "ﬁne ＡＢＣ", "a.b_c"]) == ["foo bar baz", "strasse strasse", "fine abc", "a.b c"]
+    assert apply(spark, T.key_norm, ["Max. torque (hard/soft)", "  Вага:нетто "]) == ["max torque hard soft", "вага нетто"]
+    assert apply(spark, T.context_of, [("Weight excl. battery", "1 kg"), ("Magnet", "2"), ("Gross weight", "3"), ("Package", "x"), ("Weight", "4")], "a string, b string") == ["net_without_battery", "net_without_battery", "with_battery", "package", None]
+    grounded = [("0.59 kg", "Weight:  0.59 KG", True), ("35 Nm", "Max: 35 / 20 Nm", True), ("36 Nm", "Max: 35 / 20 Nm", False), ("abc", "xyz", False), ("", "x", False)]
+    assert apply(spark, T.grounded, [(a, b) for a, b, _ in grounded], "a string, b string") == [g for _, _, g in grounded]
+
+
+def test_urls(spark):
+    cases = {" HTTPS://WWW.Ex.com:80?utm_source=a&b=1&ref=x#f ": "https://www.ex.com:80/?b=1", "http://e.com/P?a=1&&gclid=2": "http://e.com/P?a=1", "http://e.com/x": "http://e.com/x"}
+    assert apply(spark, T.normalize_url, list(cases)) == list(cases.values())
+    assert apply(spark, T.domain_of, ["https://www.Ex.com:80/x", "http://www.www.e.com", "x"]) == ["ex.com:80", "www.e.com", ""]
+
+
+def test_models(spark):
+    pairs = [("GSR12V35FC", "GSR12V35", True), ("GSR12V35", "GSR12V35FC", True), ("GSR12V35", "GSB12V35", True), ("GSR12V35", "GSR12V35", False), ("GSR12V35", "DHP484", False), ("GSR12V35", "GSR12V35FCPLUS", False)]
+    assert apply(spark, T.sibling_of, [(a, b) for a, b, _ in pairs], "a string, b string") == [s for _, _, s in pairs]
+    assert sorted(apply(spark, T.codes_in, ["The GSR 12V-35 FC and DHP-484, A1"])[0]) == ["DHP484", "GSR12V35"]
+    assert T.token_set_similarity("a b c", "c b a d") == 100.0 and T.token_set_similarity("", "x") == 0.0 and 0 < T.token_set_similarity("abc", "abd") < 100
+
+
+def test_understand(spark):
+    names = ["Шуруповерт Bosch Professional GSR 12V-35 FC solo", "iPhone 15 Pro 256 чорний", "Siemens 6ES7 214-1AG40-0XB0", "Bosch GSR 12V-35 FC 3165140876643 B0ABCDEFGH", "скотч DHP484 Мakita ДНР484"]
+    df = spark.createDataFrame([(str(i), n) for i, n in enumerate(names)], "product_id string, name string")
+    got = {r["product_id"]: r for r in U.understand(df).collect()}
+    assert (got["0"]["brand"], got["0"]["category"], got["0"]["model_normalized"], got["0"]["variant_tokens"]) == ("Bosch", "tools/power_tools", "GSR12V35FC", ["kit=solo"])
+    assert got["1"]["brand"] == "Apple" and got["1"]["category"] == "electronics/smartphones" and set(got["1"]["variant_tokens"]) == {"color=чорний", "storage_gb=256"}
+    assert got["2"]["brand"] == "Siemens" and got["2"]["model_normalized"].startswith("6ES7214")
+    assert got["3"]["query_gtins"] == ["3165140876643"] and got["3"]["asin"] == "B0ABCDEFGH"
+    texts = [r["text"] for r in U.anchor_queries(U.understand(df.where("product_id = '0'"))).orderBy("query_ord").collect()]
+    assert texts[0] == 'Bosch "GSR 12V-35 FC"' and len(texts) == len({t.lower() for t in texts}) == 9 and texts[-1] == names[0]
+    hinted = df.where("product_id = '2'").withColumn("hint_brand", F.lit("Acme")).withColumn("hint_category", F.lit("generic"))
+    assert [(r["brand"], r["category_confidence"]) for r in U.understand(hinted).collect()] == [("Acme", 1.0)]
+
+
+def test_html():
+    page = '<html><head><title>T</title><meta property="og:title" content="Og"><script type="application/ld+json">{"@graph":[{"@type":["Product"],"name":"N","brand":{"name":"B"},"gtin13":"3165140876643","weight":{"value":0.59,"unitCode":"kg"},"image":["i1"],"offers":[{"price":"4,5","availability":"x/InStock","seller":{"name":"S"}},{"price":"?"}],"additionalProperty":[{"name":"A","value":0,"unitText":"V"}]}]}</script><script type="application/ld+json">{bad</script></head><body><nav>no</nav><h1>Head</h1><table><tr><th>K<td>V1<td>V2</tr><tr><td>lone</td></tr></table><dl><dt>D</dt><dd>E <b>F</b></dd></dl><p>a<br>b</p><footer>no</footer></body></html>'
+    assert H.html_text(page) == "Head\nK: V1 V2\nlone\nD: E F\na\nb" and H.html_text(None) == "" and H.html_text("<p>x") == "x"
+    s = H.structured(page)
+    assert s["kind"] == "Product" and s["identity"]["name"] == "N" and s["identity"]["gtins"] == ["3165140876643"] and s["images"] == ["i1"]
+    assert s["fields"] == [{"k": "weight", "v": "0.59 kg"}, {"k": "A", "v": "0 V"}] and s["offers"] == [{"price": 4.5, "currency": None, "availability": "InStock", "seller": "S"}]
+    assert H.structured('<meta property="og:title" content="Og">')["identity"]["name"] == "Og" and H.structured(None)["kind"] is None
+
+
+def test_dimensions():
+    assert len(UNITS) == 72 and UNITS["kg"] == ("g", 1000.0)
+    assert [len(v) for v in ATTRIBUTES.values()] == [8, 17, 13]
