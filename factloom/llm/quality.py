@@ -28,7 +28,7 @@ BUCKETS = 16_384
 TRUSTED = 20_000
 #: Weight of the raw distribution in the target's: a share of the target's n-grams, and some n-grams in any
 #: case, so a small target makes weaker ratios.
-PRIOR, PRIOR_GRAMS = 0.1, 100_000
+PRIOR, PRIOR_GRAMS = 0.2, 100_000
 #: Least mean log-likelihood ratio of a kept document.
 THRESHOLD = -0.12
 SYMBOLS = "#*$%&|<>"
@@ -107,7 +107,9 @@ def _repeated_words(worded: DataFrame) -> DataFrame:
 
 
 def rated(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", *, threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, score, kept."""
+    """``docs`` with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, score, kept, which
+    take the place of columns of these names."""
+    docs = docs.drop(*RATINGS)
     weights = constant(ratios(docs, labels, key, text), "array<double>")
     worded = with_words(docs, text)
     n = F.col("__n")
@@ -129,8 +131,11 @@ def rated(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The kept rows, with their own columns."""
-    return rated(docs, labels, key, text).where("kept").select(*docs.columns)
+    """The kept rows, with their own columns, whatever their names."""
+    rest = [c for c in docs.columns if c not in (key, text)]
+    packed = docs.select(key, text, F.struct(F.lit(0).alias("__none"), *rest).alias("__rest"))
+    kept = rated(packed, labels, key, text).where("kept")
+    return kept.select(*[F.col(c) if c in (key, text) else F.col("__rest")[c].alias(c) for c in docs.columns])
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

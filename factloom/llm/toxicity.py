@@ -168,7 +168,9 @@ def fit(docs: DataFrame, labels: DataFrame, categories: list[tuple[str, Column]]
 
 
 def scored(docs: DataFrame, chain: Chain, text: str = "text", prefix: str = "p_") -> DataFrame:
-    """``docs`` with a probability for each category, all in one pass over the texts."""
+    """``docs`` with a probability for each category, all in one pass over the texts; these columns take the
+    place of others of their names."""
+    docs = docs.drop(*[prefix + c for c in chain.names])
 
     @F.arrow_udf("array<double>")
     def of(texts: pa.Array) -> pa.Array:

@@ -101,7 +101,7 @@ def canonical(url: Column) -> Column:
 
 def judge(pages: DataFrame, url: str = "url", rules: list[tuple[str, str, str]] | None = None, globs: list[str] | None = None) -> DataFrame:
     """``pages`` with host, path, rule (the longest that fits, or null), glob (the first that matches, or
-    null) and verdict.  These names must be free."""
+    null) and verdict, which take the place of columns of these names."""
     rules, globs = RULES if rules is None else rules, GLOBS if globs is None else globs
     host, path = F.col("host"), F.col("path")
     rule, said = F.lit(None).cast("string"), F.lit(None).cast("string")

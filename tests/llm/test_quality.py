@@ -73,6 +73,9 @@ def test_no_labels_and_empty(spark):
     none = spark.createDataFrame([], "doc_id long, quality int")
     assert [r["doc_id"] for r in Q.keep_good(df, none).collect()] == [61]
     assert Q.rated(df.where("doc_id > 99"), none).count() == 0
+    clash = df.withColumns({"score": df["doc_id"] * 0 + 7, "kept": df["text"], "__words": df["text"]})
+    got = Q.keep_good(clash, none).collect()
+    assert [(r["doc_id"], r["score"]) for r in got] == [(61, 7)] and got[0]["kept"] == got[0]["text"] and got[0]["__words"] == got[0]["text"]
 
 
 def test_held_out_documents(spark, sf_dir):
