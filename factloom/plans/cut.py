@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
@@ -18,3 +19,12 @@ def checkpoint(df: DataFrame) -> DataFrame:
             folder = tempfile.mkdtemp(prefix="factloom-")
         sc.setCheckpointDir(folder)
     return df.checkpoint()
+
+
+def barrier(df: DataFrame) -> DataFrame:
+    """The same rows through a generator of one row each.
+
+    Filters above do not move below it and projections do not merge across it, so an expensive column is
+    worked out once, not once for each use of it.
+    """
+    return df.select(F.inline(F.array(F.struct(*df.columns))))

@@ -1,6 +1,7 @@
 """Names to documents over a small web of pages: copying shops, a sibling model, a datasheet, a late forum page."""
 
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -37,6 +38,8 @@ SHEET = f"Makita {MODEL}\nTechnical data\nVoltage: 18 V\nMax. torque (hard/soft)
 
 @pytest.fixture(scope="module")
 def resolved(spark):
+    if not os.environ.get("FACTLOOM_SLOW"):
+        pytest.skip("takes over five minutes; set FACTLOOM_SLOW=1")
     index = [(u, None, t, None, None, ["warranty"] if "forum" in u else ["tx18v50"], ["tx18v50hd"] if "forum" in u else None, [GTIN] if "maker" in u else None) for u, (t, _) in PAGES.items()]
     index.append(("https://maker.example/tx.pdf", None, "A", None, None, ["datasheet", "technical data"], ["TX 18V-50 HD"], None))
     index = spark.createDataFrame([(i, *r) for i, r in enumerate(index)], "lead_ord int, url string, file string, tier string, title string, snippet string, match_any array<string>, require_all array<string>, ids array<string>")
