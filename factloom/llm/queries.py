@@ -17,6 +17,5 @@ QUERIES = {
     "op10_suffix_dedup": suffix_dedup.op10_suffix_dedup,
 }
 ORACLE_SQL: dict[str, str] = {
-    "op6_quality": quality.op6_quality,
     "op7_url_filter": url_filter.ORACLE_SQL,
 }
