@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import near_copies
 from .common import checkpoint, table
 
 SEED = 42
@@ -222,11 +223,18 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", *,
     return marked.join(named, "__fp").select(key, "__mark", "__fp", "__root", "__component")
 
 
-def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", *, width: int = 5, radius: int = RADIUS) -> DataFrame:
-    """One row of each group: the one with the smallest key, nulls last, then the smallest text hash.  Of
-    rows with equal key and text one stays."""
+def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", *, width: int = 5, least: float = 0.8) -> DataFrame:
+    """One row of each group that pairs of shingle similarity ``least`` or more make (see ``near_copies``): the
+    one with the smallest key, nulls last, then the smallest text hash.  Of rows with equal key and text one stays."""
     nil = F.lit("0").cast(docs.schema[key].dataType)
-    found = near_duplicates(docs, key, text, width=width, radius=radius)
+    marked = near_copies.with_node(docs.select(key, text), text, width)
+    marked = checkpoint(marked.select(key, F.xxhash64(text).alias("__mark"), "__set.node", "__set.cells"))
+    rough = components(near_copies.rough_edges(marked.select("node", "cells").dropDuplicates(["node"])))
+    rough = rough.unionByName(rough.select(F.col("root").alias("node"), "root").distinct())
+    picks = marked.join(rough, "node").groupBy("node", "root").agg(F.min("__mark").alias("__mark"))
+    texts = docs.select(F.col(text).alias("text")).withColumn("__mark", F.xxhash64("text")).join(picks, "__mark").dropDuplicates(["node"])
+    roots = components(near_copies.exact_edges(texts.select("root", "node", "text"), width, least))
+    found = marked.join(roots, "node", "left").select(key, "__mark", F.coalesce("root", "node").alias("__root"))
     first = found.groupBy("__root").agg(F.min(F.struct(F.col(key).isNull().alias("z"), F.coalesce(F.col(key), nil).alias("k"), F.col("__mark").alias("m"))).alias("s"))
     names = ["__k", "__z", "__m"]
     keep = first.select(F.col("s.k").alias("__k"), F.col("s.z").alias("__z"), F.col("s.m").alias("__m")).distinct()
