@@ -3,7 +3,7 @@
 Patterns find candidates in each whole text.  Base kinds (assign, access, hex) are always reported.  The
 method weighs every candidate's value by who holds it: its hash is counted over distinct owners and over
 distinct (owner, repository) pairs of the whole corpus.  A value that many own is a widely copied example; one
-that few own, and that does not look like filler, looks live.  Further kinds (vendor, jwt, pem), too general to
+that few own, however often they repeat it, and that does not look like filler, looks live.  Further kinds (vendor, jwt, pem), too general to
 report everywhere, are added as spans where their value looks live.
 
 The counts are three nested aggregations, (value, owner, repository) -> (value, owner) -> (value), each
@@ -28,7 +28,8 @@ from .common import checkpoint, table
 #: In the order in which spans with one start are listed.
 KINDS = ["assign", "access", "hex", "vendor", "jwt", "pem"]
 BASE = KINDS[:3]
-#: A value held by more owners, or by more repositories, is a widely copied example.
+#: A value held by more owners is a widely copied example.  More repositories of so few owners do not make it one:
+#: they are told beside the owners, and ``live`` does not depend on them.
 MOST_OWNERS, MOST_REPOSITORIES = 3, 8
 #: Fewer distinct characters are filler (xxxxxxxx, 00000000).
 LEAST_CHARACTERS = 6
@@ -96,7 +97,7 @@ def ownership(found: DataFrame, key: str) -> DataFrame:
     pairs = each.groupBy("value", "owner", "repository").agg(F.lit(1).alias("one"))
     by_owner = pairs.groupBy("value", "owner").agg(F.count("*").alias("n"))
     out = by_owner.groupBy("value").agg(F.count("*").alias("owners"), F.sum("n").alias("repositories"))
-    return out.withColumn("live", (F.col("owners") <= MOST_OWNERS) & (F.col("repositories") <= MOST_REPOSITORIES))
+    return out.withColumn("live", F.col("owners") <= MOST_OWNERS)
 
 
 def judged(docs: DataFrame, key: str = "doc_id", text: str = "text", owner: str = "source") -> DataFrame:

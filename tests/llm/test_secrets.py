@@ -49,3 +49,14 @@ def test_ownership_and_redaction(spark):
     out = {r["doc_id"]: r for r in S.redact(df).collect()}
     assert out[1]["text"] == "é key [secret]." and out[2]["text"] == "[secret]" and out[10]["text"] == rows[3][1] and out[None]["text"] is None and out[1]["kind"] == 1
     assert S.secret_spans(df.where("doc_id > 99")).count() == 0 == S.redact(df.where("doc_id > 99")).count()
+
+
+def test_one_owner_of_many_documents_stays_live(spark):
+    own, shared = "ghp_" + "a1B2c3D4e5F6g7H8i9", "ghp_" + "ExampleExample00001"
+    rows = [(i, f"key {own} and token = Qw3rTyk9k9k9zz", "a") for i in range(40)] + [(100 + i, f"see {shared}", "o%d" % (i % 4)) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    got = {r["doc_id"]: r for r in S.secret_spans(df).collect()}
+    assert all(got[i]["n_live"] == 2 and "vendor:" in got[i]["spans"] for i in range(40))
+    assert all(got[100 + i]["n_copied"] == 1 and got[100 + i]["spans"] == "" for i in range(40))
+    out = {r["doc_id"]: r["text"] for r in S.redact(df).collect()}
+    assert all(out[i] == "key [secret] and [secret]" for i in range(40)) and all(out[100 + i] == f"see {shared}" for i in range(40))
