@@ -486,8 +486,8 @@ def eval_metrics(spark, sf):
 # ---- everything ----
 @query()
 def resolve_products(spark, sf):
-    """Names to documents over recorded pages of the first parts: three pages each, one of them a copy's mistake."""
-    p = table(spark, sf, "part").where("p_partkey <= 40").select(text_of("p_partkey").alias("product_id"), F.concat(F.lit("GSR "), F.col("p_partkey") + 100, F.lit("V-35")).alias("m"), "p_size")
+    """Names to documents over recorded pages of all parts: three pages each, one of them a copy's mistake."""
+    p = table(spark, sf, "part").select(text_of("p_partkey").alias("product_id"), F.concat(F.lit("GSR "), F.col("p_partkey") + 100, F.lit("V-35")).alias("m"), "p_size")
     names = p.select("product_id", F.concat(F.lit("Bosch "), "m", F.lit(" solo drill")).alias("name"))
     site = F.explode(F.array(*[F.struct(F.lit(d).alias("d"), F.lit(t).alias("t"), F.lit(x).alias("x")) for d, t, x in (("maker.example", "A", 0), ("facts.example", "B", 0), ("shop.example", "C", 1))]))
     each = p.select("product_id", "m", "p_size", site.alias("s"))
