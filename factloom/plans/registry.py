@@ -83,12 +83,21 @@ def quantity_parse(spark, sf):
 
 @query("SELECT u.spelling, u.canon, p.p_partkey, round(p.p_size * u.factor, 4) AS value FROM (VALUES " + ", ".join(f"('{s}', '{c}', CAST({f!r} AS DOUBLE))" for s, (c, f) in UNITS.items() if s.isascii() and s.isalpha()) + ") AS u(spelling, canon, factor) JOIN part p ON p.p_partkey % 50 = 0")
 def unit_convert(spark, sf):
+    return _converted(spark, table(spark, sf, "part").where("p_partkey % 50 = 0"))
+
+
+def _converted(spark, part):
     rows = [(s, c) for s, (c, _) in UNITS.items() if s.isascii() and s.isalpha()]
     units = F.broadcast(spark.createDataFrame(rows, "spelling string, canon string"))
-    p = table(spark, sf, "part").where("p_partkey % 50 = 0").join(units)
+    p = part.join(units)
     return p.select("spelling", "canon", "p_partkey", T.parse_quantity(F.concat(text_of("p_size"), F.lit(" "), "spelling"), F.col("canon"), normalized=True)["value"].alias("value"))
 
 
+@query()
+def unit_convert_all(spark, sf):
+    """Every part in every spelling; ``unit_convert`` and its SQL read every fiftieth part."""
+    return _converted(spark, table(spark, sf, "part"))
+
 @query("""SELECT p_partkey, trim(regexp_replace(regexp_replace(lower(p_name || '--' || p_type || ' / X!'), '[\\s\\-_/]+', ' ', 'g'), '[^\\w\\s.]', '', 'g')) AS name FROM part""")
 def canonical_string(spark, sf):
     return table(spark, sf, "part").select("p_partkey", T.canonical_string(F.concat("p_name", F.lit("--"), "p_type", F.lit(" / X!"))).alias("name"))

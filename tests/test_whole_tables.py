@@ -1,7 +1,9 @@
 """Queries that must cover whole tables, against brute force."""
 
 import re
+from decimal import ROUND_HALF_UP, Decimal
 
+from factloom.dims import UNITS
 from factloom.plans.registry import QUERIES
 from factloom.sources import leads as L
 
@@ -20,3 +22,11 @@ def test_search_equals_the_nested_loop(spark):
 def test_every_part_is_resolved(spark, sf_dir):
     got = {r[0] for r in QUERIES["resolve_products"](spark, sf_dir).select("product_id").distinct().collect()}
     assert got == {str(r[0]) for r in spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey").collect()}
+
+
+def test_every_part_in_every_unit(spark, sf_dir):
+    units = {s: (c, f) for s, (c, f) in UNITS.items() if s.isascii() and s.isalpha()}
+    parts = {r[0]: r[1] for r in spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_size").collect()}
+    half_up = lambda x: float(Decimal(x).quantize(Decimal("0.0001"), ROUND_HALF_UP))  # as in unit_convert's SQL
+    got = {(r["p_partkey"], r["spelling"]): (r["canon"], r["value"]) for r in QUERIES["unit_convert_all"](spark, sf_dir).collect()}
+    assert got == {(p, s): (c, half_up(n * f)) for p, n in parts.items() for s, (c, f) in units.items()}
