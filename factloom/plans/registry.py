@@ -305,7 +305,17 @@ _WORDS = "regexp_extract_all(lower(substr(text, 1, 200)), '[\\p{L}\\p{N}_]+')"
 @query(f"""WITH w AS (SELECT doc_id, {_WORDS} AS w FROM documents), s AS (SELECT doc_id, CASE WHEN len(w) < 4 THEN [] ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i+3], ' '))) END AS s FROM w)
 SELECT a.doc_id, len(a.s) AS shingles, CAST(round(1e6 * CASE WHEN len(a.s) = 0 OR len(b.s) = 0 THEN 0 ELSE len(list_intersect(a.s, b.s)) / CAST(len(list_distinct(list_concat(a.s, b.s))) AS DOUBLE) END) AS BIGINT) AS jaccard FROM s a JOIN s b ON b.doc_id = a.doc_id + 1""")
 def shingle_jaccard(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", T.shingles(F.left("text", F.lit(200))).alias("s"))
+    return _neighbours(table(spark, sf, "documents").select("doc_id", F.left("text", F.lit(200)).alias("text")))
+
+
+@query()
+def shingle_jaccard_whole(spark, sf):
+    """Over whole texts; ``shingle_jaccard`` and its SQL read the first 200 characters."""
+    return _neighbours(table(spark, sf, "documents"))
+
+
+def _neighbours(docs):
+    d = docs.select("doc_id", T.shingles(F.col("text")).alias("s"))
     other = d.select((F.col("doc_id") - 1).alias("doc_id"), F.col("s").alias("t"))
     return d.join(other, "doc_id").select("doc_id", F.size("s").cast("long").alias("shingles"), F.round(T.jaccard(F.col("s"), F.col("t")) * 1e6).cast("long").alias("jaccard"))
 

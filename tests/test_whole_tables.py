@@ -30,3 +30,20 @@ def test_every_part_in_every_unit(spark, sf_dir):
     half_up = lambda x: float(Decimal(x).quantize(Decimal("0.0001"), ROUND_HALF_UP))  # as in unit_convert's SQL
     got = {(r["p_partkey"], r["spelling"]): (r["canon"], r["value"]) for r in QUERIES["unit_convert_all"](spark, sf_dir).collect()}
     assert got == {(p, s): (c, half_up(n * f)) for p, n in parts.items() for s, (c, f) in units.items()}
+
+
+def test_whole_texts_are_compared(spark, tmp_path):
+    same = "one two three four five six seven eight nine ten " * 6
+    texts = [same + "alpha beta gamma delta epsilon", same + "other words stand at the end here", "Ünï a_b 3 x y " + same, "short text", None, "", "a b c d", "A, b; c d"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+
+    def shingles(t):
+        w = re.findall(r"\w+", (t or "").lower())
+        return {" ".join(w[i : i + 4]) for i in range(max(0, len(w) - 3))}
+
+    sets = [shingles(t) for t in texts]
+    got = {r["doc_id"]: (r["shingles"], r["jaccard"]) for r in QUERIES["shingle_jaccard_whole"](spark, str(tmp_path)).collect()}
+    for i, (a, b) in enumerate(zip(sets, sets[1:])):
+        if texts[i] is not None:
+            assert got[i] == (len(a), round(1e6 * len(a & b) / len(a | b)) if a and b else 0), i
+    assert got[0][1] < 1_000_000
