@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # ---- fixed values -------------------------------------------------------------------------------------------
 TIER_PRIOR = {"A": 1.0, "B": 0.75, "C": 0.45, "D": 0.25, "E": 0.15}
@@ -113,11 +116,15 @@ _OWN = {"generic": "", "tools/power_tools": _POWER_TOOLS, "electronics/smartphon
 ATTRIBUTES = {c: _attributes(_CORE) + (_attributes(text) if text else []) for c, text in _OWN.items()}
 
 
+def _rows(spark: SparkSession, rows: list[dict], ddl: str) -> DataFrame:
+    """A literal table, without a Python worker or a job of its own."""
+    return spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), f"array<struct<{ddl}>>")))
+
+
 def attribute_specs(spark: SparkSession) -> DataFrame:
     """One row for each category and attribute."""
-    ddl = "category string, spec_ord int, key string, section string, kind string, unit string, tolerance double, lo double, hi double, variant_specific boolean, weight double, expected_in array<string>, synonyms array<string>, words map<string,string>"
-    names = ["key", "section", "kind", "unit", "tolerance", "lo", "hi", "variant_specific", "weight", "expected_in", "synonyms", "words"]
-    return spark.createDataFrame([(c, i, *[a[n] for n in names]) for c, own in ATTRIBUTES.items() for i, a in enumerate(own)], ddl)
+    ddl = "category:string,spec_ord:int,key:string,section:string,kind:string,unit:string,tolerance:double,lo:double,hi:double,variant_specific:boolean,weight:double,expected_in:array<string>,synonyms:array<string>,words:map<string,string>"
+    return _rows(spark, [{"category": c, "spec_ord": i} | a for c, own in ATTRIBUTES.items() for i, a in enumerate(own)], ddl)
 
 
 def synonyms(spark: SparkSession) -> DataFrame:
@@ -125,5 +132,5 @@ def synonyms(spark: SparkSession) -> DataFrame:
     rows = []
     for category, own in ATTRIBUTES.items():
         pairs = [(s.lower(), a["key"]) for a in own for s in [a["key"].replace("_", " "), *a["synonyms"]]]
-        rows += [(category, i, s, k) for i, (s, k) in enumerate(sorted(pairs, key=lambda p: -len(p[0])))]
-    return spark.createDataFrame(rows, "category string, syn_rank int, synonym string, field string")
+        rows += [{"category": category, "syn_rank": i, "synonym": s, "field": k} for i, (s, k) in enumerate(sorted(pairs, key=lambda p: -len(p[0])))]
+    return _rows(spark, rows, "category:string,syn_rank:int,synonym:string,field:string")

@@ -15,9 +15,11 @@ from pyspark.sql.types import DoubleType, StringType
 from ..dims import CONTEXTS, CROSS, ENUMS, FALSE_WORDS, HOMOGLYPHS, TRACKING, TRUE_WORDS, UNITS
 
 _ASCII = r"^[\x00-\x7F]*$"
+# ---- fixed values ----
 #: A number, with groups of three or a decimal part, not inside a word or another number; then a unit.
 NUMBER = r"(?U)(?<![\w.,])([-+]?\d+(?:[ ,.\x{A0}]\d{3})*(?:[.,]\d+)?)(?!\d)\s*([A-Za-zА-Яа-яЁёіІїЇєЄ·⁻¹/\"″]{0,8})"
 CODE = r"(?U)\b[A-Z]{1,6}[- ]?\d{1,5}[A-Z0-9\-/.]*\b"
+# ---- end of fixed values ----
 
 
 def constant(value: object, ddl: str) -> Column:
@@ -34,6 +36,10 @@ def _folded(texts: pa.Array) -> pa.Array:
     return pa.array([None if t is None else unicodedata.normalize("NFKC", t).casefold() for t in texts.to_pylist()], pa.string())
 
 
+def stripped(c: Column) -> Column:
+    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+
+
 def nfkc(c: Column) -> Column:
     """Only texts beyond ASCII cross to Python; the others travel as nulls."""
     return F.when(c.rlike(_ASCII), c).otherwise(_nfkc(F.when(~c.rlike(_ASCII), c)))
@@ -59,55 +65,56 @@ def parse_number(token: Column) -> Column:
     return F.when((comma > 0) & (dot > 0), both).when(comma > 0, only).otherwise(t).try_cast("double")
 
 
-def parse_quantity(raw: Column, unit: Column, normalized: bool = False) -> Column:
-    """struct(value, unit): the first number whose unit converts to ``unit``, else the first bare number.
-
-    ``normalized``: the text needs no compatibility form (it is ASCII).
-    """
-    text = F.lower(raw if normalized else nfkc(raw))
+def quantities(text: Column) -> Column:
+    """array of (n, u, c, f): numbers of a folded text, the unit spelled after each, its canonical one and factor."""
     table = constant({k: {"c": c, "f": f} for k, (c, f) in UNITS.items()}, "map<string,struct<c:string,f:double>>")
-    cross = constant({f"{a}>{b}": f for (a, b), f in CROSS.items()}, "map<string,double>")
     numbers, units = F.regexp_extract_all(text, F.lit(NUMBER), F.lit(1)), F.regexp_extract_all(text, F.lit(NUMBER), F.lit(2))
+    spelled = F.zip_with(numbers, units, lambda n, u: F.struct(parse_number(n).alias("n"), F.rtrim(F.trim(u), F.lit(".")).alias("u")))
+    known = F.filter(spelled, lambda x: x["n"].isNotNull())
+    return F.transform(known, lambda x: F.struct(x["n"].alias("n"), x["u"].alias("u"), F.try_element_at(table, x["u"])["c"].alias("c"), F.try_element_at(table, x["u"])["f"].alias("f")))
+
 
-    def read(n: Column, u: Column) -> Column:
-        spelled = F.rtrim(F.trim(u), F.lit("."))
-        return F.struct(parse_number(n).alias("n"), spelled.alias("u"), F.try_element_at(table, spelled).alias("t"))
+def quantity_in(found: Column, unit: Column) -> Column:
+    """struct(value, unit): of ``quantities``, the first whose unit converts to ``unit``, else the first bare one."""
+    cross = constant({f"{a}>{b}": f for (a, b), f in CROSS.items()}, "map<string,double>")
 
     def convert(x: Column) -> Column:
-        same = unit.isNull() | (x["t"]["c"] == unit)
-        rate = F.when(same, F.lit(1.0)).otherwise(F.try_element_at(cross, F.concat(x["t"]["c"], F.lit(">"), unit)))
-        return F.struct(F.round(x["n"] * x["t"]["f"] * rate, 4).alias("value"), F.when(same, x["t"]["c"]).otherwise(unit).alias("unit"))
-
-    found = F.filter(F.zip_with(numbers, units, read), lambda x: x["n"].isNotNull())
-    known = F.filter(F.transform(F.filter(found, lambda x: x["t"].isNotNull()), convert), lambda x: x["value"].isNotNull())
-    bare = F.transform(F.filter(found, lambda x: x["u"] == ""), lambda x: F.struct(x["n"].alias("value"), F.coalesce(unit, F.lit("")).alias("unit")))
-    return F.coalesce(F.get(known, F.lit(0)), F.get(bare, F.lit(0)))
-
-
-def normalize_value(raw: Column, kind: Column, unit: Column, field: Column) -> Column:
-    """struct(num, str, bool, list, unit), one of the first four set by kind; null if the text has no value."""
-    text = F.regexp_replace(raw, r"(?U)^\s+|\s+$", "")
-    c = canonical_string(text)
-    quantity = parse_quantity(text, unit)
-    starts = lambda words: reduce(or_, [c.startswith(w) for w in words])
+        same = unit.isNull() | (x["c"] == unit)
+        rate = F.when(same, F.lit(1.0)).otherwise(F.try_element_at(cross, F.concat(x["c"], F.lit(">"), unit)))
+        converted = F.struct(F.round(x["n"] * x["f"] * rate, 4).alias("value"), F.when(same, x["c"]).otherwise(unit).alias("unit"), F.lit(0).alias("bare"))
+        return F.when(x["c"].isNotNull(), converted).when(x["u"] == "", F.struct(x["n"].alias("value"), F.coalesce(unit, F.lit("")).alias("unit"), F.lit(1).alias("bare")))
+
+    read = F.transform(found, convert)
+    best = lambda bare: F.get(F.filter(read, lambda x: (x["bare"] == bare) & x["value"].isNotNull()), F.lit(0))
+    return F.coalesce(best(0), best(1)).dropFields("bare")
+
+
+def parse_quantity(raw: Column, unit: Column, normalized: bool = False) -> Column:
+    """struct(value, unit) of a text.  ``normalized``: it needs no compatibility form (it is ASCII)."""
+    return quantity_in(quantities(F.lower(raw if normalized else nfkc(raw))), unit)
+
+
+def value_of(text: Column, canon: Column, found: Column, kind: Column, unit: Column, field: Column) -> Column:
+    """struct(num, str, bool, list, unit) of a stripped text, its canonical form and its ``quantities``; null if it
+    has no value."""
+    quantity = quantity_in(found, unit)
+    starts = lambda words: reduce(or_, [canon.startswith(w) for w in words])
     truth = F.when(starts(TRUE_WORDS), F.lit(True)).when(starts(FALSE_WORDS), F.lit(False))
     named = F.lit(None).cast("string")
     for key, values in ENUMS.items():
-        pick = c
+        pick = canon
         for name, spellings in reversed(values.items()):
-            pick = F.when(reduce(or_, [c.contains(x) for x in spellings]), F.lit(name)).otherwise(pick)
+            pick = F.when(reduce(or_, [canon.contains(x) for x in spellings]), F.lit(name)).otherwise(pick)
         named = F.when(field == key, pick).otherwise(named)
-    items = F.filter(F.transform(F.split(text, r"[;,\n•]+"), lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", "")), lambda x: x != "")
-    plain = F.regexp_replace(text, r"(?U)\s+", " ")
-    out = F.struct(
-        F.when(kind == "number", quantity["value"]).alias("num"),
-        F.when(kind == "enum", F.coalesce(named, c)).when(kind == "string", plain).alias("str"),
-        F.when(kind == "bool", truth).alias("bool"),
-        F.when((kind == "list") & (F.size(items) > 0), items).alias("list"),
-        F.when(kind == "number", F.coalesce(F.when(quantity["unit"] != "", quantity["unit"]), unit)).alias("unit"),
+    items = F.filter(F.transform(F.split(text, r"[;,\n•]+"), stripped), lambda x: x != "")
+    none = {"num": F.lit(None).cast("double"), "str": F.lit(None).cast("string"), "bool": F.lit(None).cast("boolean"), "list": F.lit(None).cast("array<string>"), "unit": F.lit(None).cast("string")}
+    whole = lambda **own: F.struct(*[own.get(k, v).alias(k) for k, v in none.items()])
+    number = whole(num=quantity["value"], unit=F.coalesce(F.nullif(quantity["unit"], F.lit("")), unit))
+    said = F.coalesce(named, canon)
+    return (
+        F.when(text == "", None).when(kind == "number", F.when(quantity.isNotNull(), number)).when(kind == "bool", F.when(truth.isNotNull(), whole(bool=truth)))
+        .when(kind == "enum", F.when(said.isNotNull(), whole(str=said))).when(kind == "list", F.when(F.size(items) > 0, whole(list=items))).otherwise(whole(str=F.regexp_replace(text, r"(?U)\s+", " ")))
     )
-    some = F.coalesce(out["num"].cast("string"), out["str"], out["bool"].cast("string"), F.array_join(out["list"], ","))
-    return F.when((text != "") & some.isNotNull(), out)
 
 
 def equivalent(a: Column, b: Column, kind: Column, tolerance: Column) -> Column:
@@ -191,10 +198,13 @@ def context_of(key: Column, raw: Column) -> Column:
     return out
 
 
-def grounded(raw: Column, span: Column, normalized: bool = False) -> Column:
-    """The value stands in the span, or all its numbers (at least one) and units do."""
-    fold = lambda c: F.lower(F.trim(F.regexp_replace(c if normalized else nfkc(c), r"(?U)\s+", " ")))
-    r, s = fold(raw), fold(span)
+def spaced(c: Column, normalized: bool = False) -> Column:
+    """The compatibility form in lower case, each white space one blank."""
+    return F.lower(F.trim(F.regexp_replace(c if normalized else nfkc(c), r"(?U)\s+", " ")))
+
+
+def grounded_in(r: Column, s: Column) -> Column:
+    """Of two ``spaced`` texts: the value stands in the span, or all its numbers (at least one) and units do."""
     numbers = F.regexp_extract_all(r, F.lit(r"(\d+(?:[.,]\d+)?)"), F.lit(1))
     units = F.regexp_extract_all(r, F.lit(r"([a-zа-яіїє·⁻¹/]+)"), F.lit(1))
     # The span goes along in an array: a function inside an array cannot reach out to a Python one.
@@ -203,14 +213,28 @@ def grounded(raw: Column, span: Column, normalized: bool = False) -> Column:
     return (r != "") & (s.contains(r) | parts)
 
 
+def grounded(raw: Column, span: Column, normalized: bool = False) -> Column:
+    return grounded_in(spaced(raw, normalized), spaced(span, normalized))
+
+
 def in_range(value: Column, kind: Column, lo: Column, hi: Column) -> Column:
     return F.when((kind != "number") | lo.isNull(), F.lit(True)).otherwise(F.coalesce(value.between(lo, hi), F.lit(False)))
 
 
+def words_in(text: Column) -> Column:
+    return F.regexp_extract_all(F.lower(text), F.lit(r"(?U)(\w+)"), F.lit(1))
+
+
+def shingles_of(words: Column, k: int = 4) -> Column:
+    """Distinct runs of ``k`` words; none of fewer words.  The words are zipped with themselves, shifted."""
+    n = F.greatest(F.size(words) - (k - 1), F.lit(0))
+    shifted = [F.slice(words, i + 1, n) for i in range(k)]
+    joined = reduce(lambda a, b: F.zip_with(a, b, lambda x, y: F.concat(x, F.lit(" "), y)), shifted)
+    return F.coalesce(F.array_distinct(joined), F.array().cast("array<string>"))
+
+
 def shingles(text: Column, k: int = 4) -> Column:
-    words = F.regexp_extract_all(F.lower(text), F.lit(r"(?U)(\w+)"), F.lit(1))
-    n = F.size(words)
-    return F.when(n < k, F.array().cast("array<string>")).otherwise(F.array_distinct(F.transform(F.sequence(F.lit(1), n - (k - 1)), lambda i: F.array_join(F.slice(words, i, F.lit(k)), " "))))
+    return shingles_of(words_in(text), k)
 
 
 def jaccard(a: Column, b: Column) -> Column:

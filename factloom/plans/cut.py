@@ -3,22 +3,48 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Tables written by this process, by session: see ``clean``.
+_written: dict[str, list[str]] = {}
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """A copy in the shared folder of ``spark.checkpoint.dir``; only a local session without one gets its own."""
-    sc = df.sparkSession.sparkContext
+
+def folder(spark: SparkSession) -> str:
+    """The shared folder of ``spark.checkpoint.dir``; only a local session without one gets its own."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        folder = sc.getConf().get("spark.checkpoint.dir")
-        if folder is None:
+        named = sc.getConf().get("spark.checkpoint.dir")
+        if named is None:
             if not sc.master.startswith("local"):
                 raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-            folder = tempfile.mkdtemp(prefix="factloom-")
-        sc.setCheckpointDir(folder)
-    return df.checkpoint()
+            named = tempfile.mkdtemp(prefix="factloom-")
+        sc.setCheckpointDir(named)
+    return sc.getCheckpointDir()
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """A copy as a table in the shared folder.
+
+    A table starts a new plan: unlike the rows of ``DataFrame.checkpoint`` it does not carry the constraints that
+    the optimizer inferred so far, which in loops grow beyond measure, and later stages read only the columns
+    that they use.
+    """
+    spark = df.sparkSession
+    path = f"{folder(spark)}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def clean(spark: SparkSession) -> None:
+    """Removes the session's tables; frames that read them are of no use afterwards."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in _written.pop(spark.sparkContext.applicationId, []):
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(conf).delete(p, True)
 
 
 def barrier(df: DataFrame) -> DataFrame:

@@ -40,8 +40,9 @@ def same(a: Column, b: Column) -> Column:
     return F.coalesce(F.when(x.isNotNull() & y.isNotNull(), near).when(lists, F.array_sort(xs) == F.array_sort(ys)).otherwise(canonical_string(a) == canonical_string(b)), F.lit(False))
 
 
-def score(fields: DataFrame, identity: DataFrame, truths: DataFrame, forbidden: DataFrame, statuses: DataFrame, identities: DataFrame) -> DataFrame:
-    """One row of counters for each item.
+def score(fields: DataFrame, identity: DataFrame, truths: DataFrame, forbidden: DataFrame, statuses: DataFrame, identities: DataFrame, items: DataFrame | None = None) -> DataFrame:
+    """One row of counters for each item: of ``items`` (id), or of every id that something is expected of.  An item
+    of whose identity nothing is expected counts as found.
 
     ``fields``: id, path, value, status, raw, snippets; ``truths``: id, path, truth; ``forbidden``: id, path,
     truth (one row a bad value); ``statuses``: id, path, truth; ``identity`` and ``identities``: id, path, value/truth.
@@ -60,10 +61,10 @@ def score(fields: DataFrame, identity: DataFrame, truths: DataFrame, forbidden:
     c = hits.groupBy("id").agg(F.count("*").alias("forbidden_hits"))
     d = statuses.join(fields.select("id", "path", "status"), ["id", "path"], "left").groupBy("id").agg(F.count("*").alias("status_expected"), count(F.col("status") == F.col("truth")).alias("status_ok"))
     e = identities.join(identity, ["id", "path"], "left").groupBy("id").agg(F.min(same(F.col("value"), F.col("truth")).cast("long")).alias("entity_ok"))
-    out = truths.select("id").union(identities.select("id")).distinct()
+    out = (items if items is not None else truths.select("id").union(identities.select("id")).union(statuses.select("id")).union(forbidden.select("id"))).select("id").distinct()
     for part in (a, b, c, d, e):
         out = out.join(part, "id", "left")
-    return out.fillna(0)
+    return out.fillna(1, ["entity_ok"]).fillna(0)
 
 
 COUNTERS = ["entity_ok", "fields_expected", "covered", "verified_total", "verified_correct", "single_total", "single_correct", "fabricated", "values_total", "forbidden_hits", "status_expected", "status_ok"]
@@ -80,10 +81,19 @@ def metrics(scores: DataFrame) -> DataFrame:
     })
 
 
-def score_baseline(answers: DataFrame, truths: DataFrame, forbidden: DataFrame) -> DataFrame:
-    """(id, fields_expected, covered, correct, forbidden_hits): every answer counts as an assertion."""
+def score_baseline(answers: DataFrame, truths: DataFrame, forbidden: DataFrame, identities: DataFrame | None = None) -> DataFrame:
+    """(id, fields_expected, covered, correct, forbidden_hits, entity_ok) of each item of which something is expected:
+    every answer counts as an assertion; ``identities`` (id, path, truth) are answered at identity.path."""
     told = truths.join(answers, ["id", "path"], "left")
     ok = F.col("value").isNotNull() & same(F.col("value"), F.col("truth"))
     a = told.groupBy("id").agg(F.count("*").alias("fields_expected"), F.count("value").alias("covered"), F.sum(ok.cast("long")).alias("correct"))
     hits = answers.join(forbidden, ["id", "path"]).where(same(F.col("value"), F.col("truth"))).select("id", "path").distinct()
-    return a.join(hits.groupBy("id").agg(F.count("*").alias("forbidden_hits")), "id", "left").fillna(0)
+    ids = truths.select("id").union(forbidden.select("id"))
+    entity = None
+    if identities is not None:
+        named = identities.select("id", F.concat(F.lit("identity."), "path").alias("path"), "truth").join(answers, ["id", "path"], "left")
+        entity = named.groupBy("id").agg(F.min(ok.cast("long")).alias("entity_ok"))
+        ids = ids.union(identities.select("id"))
+    out = ids.distinct().join(a, "id", "left").join(hits.groupBy("id").agg(F.count("*").alias("forbidden_hits")), "id", "left")
+    out = out.join(entity, "id", "left") if entity is not None else out.withColumn("entity_ok", F.lit(1).cast("long"))
+    return out.fillna(1, ["entity_ok"]).fillna(0)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,7 +18,7 @@ from ..sources import leads as L
 from ..streaming import ledger as S
 from . import evaluate as E
 from . import resolve as R
-from .cut import checkpoint
+from .cut import barrier, folder
 from .tables import CELLS, LINE_CLAIMS, line_claims, next_weights_sql, round_sql, supplier_pages, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -44,12 +44,15 @@ _OK = "(length({c}) IN (8, 12, 13, 14) AND (10 - " + _SUM + " % 10) % 10 = CAST(
 
 
 @query(f"""
-WITH runs AS (SELECT doc_id, unnest(regexp_extract_all(text, '[0-9]+')) AS c, generate_subscripts(regexp_extract_all(text, '[0-9]+'), 1) AS i FROM documents),
+WITH told AS (SELECT doc_id, text || ' EAN ' || lpad(CAST(doc_id * 37 AS VARCHAR), 12 + CAST(doc_id % 3 AS INTEGER), '4') AS text FROM documents),
+runs AS (SELECT doc_id, unnest(regexp_extract_all(text, '[0-9]+')) AS c, generate_subscripts(regexp_extract_all(text, '[0-9]+'), 1) AS i FROM told),
 good AS (SELECT doc_id, i, CASE WHEN length(c) = 14 AND c[1] = '0' THEN substr(c, 2) WHEN length(c) = 12 THEN '0' || c ELSE c END AS g FROM runs WHERE length(c) IN (8, 12, 13, 14) AND {_OK.format(c="c")}),
 once AS (SELECT doc_id, g, min(i) AS i FROM good GROUP BY doc_id, g)
 SELECT doc_id, string_agg(g, ',' ORDER BY i) AS gtins FROM once GROUP BY doc_id""")
 def gtin_find(spark, sf):
-    found = table(spark, sf, "documents").select("doc_id", T.find_gtins(F.col("text")).alias("g"))
+    """Every text, with a code of 12 to 14 digits behind it, of which about a tenth have a right check digit."""
+    code = F.lpad((F.col("doc_id") * 37).cast("string"), F.lit(12) + (F.col("doc_id") % 3).cast("int"), F.lit("4"))
+    found = table(spark, sf, "documents").select("doc_id", T.find_gtins(F.concat("text", F.lit(" EAN "), code)).alias("g"))
     return found.where(F.size("g") > 0).select("doc_id", F.array_join("g", ",").alias("gtins"))
 
 
@@ -81,26 +84,19 @@ def quantity_parse(spark, sf):
         q(say("size ", n), "g").alias("bare"), q(say(n, " kg"), "V").alias("mismatch"), q(say("0 - ", (F.col("p_size") + 1).cast("string"), " rpm"), "rpm").alias("second"))
 
 
-@query("SELECT u.spelling, u.canon, p.p_partkey, round(p.p_size * u.factor, 4) AS value FROM (VALUES " + ", ".join(f"('{s}', '{c}', CAST({f!r} AS DOUBLE))" for s, (c, f) in UNITS.items() if s.isascii() and s.isalpha()) + ") AS u(spelling, canon, factor) JOIN part p ON p.p_partkey % 50 = 0")
+@query("SELECT u.spelling, u.canon, p.p_partkey, round(p.p_size * u.factor, 4) AS value FROM (VALUES " + ", ".join(f"('{s}', '{c}', CAST({f!r} AS DOUBLE))" for s, (c, f) in UNITS.items() if s.isascii() and s.isalpha()) + ") AS u(spelling, canon, factor) CROSS JOIN part p")
 def unit_convert(spark, sf):
-    return _converted(spark, table(spark, sf, "part").where("p_partkey % 50 = 0"))
-
-
-def _converted(spark, part):
+    """Every part's size in every spelling."""
     rows = [(s, c) for s, (c, _) in UNITS.items() if s.isascii() and s.isalpha()]
-    units = F.broadcast(spark.createDataFrame(rows, "spelling string, canon string"))
-    p = part.join(units)
+    each = F.explode(T.constant([{"spelling": u, "canon": c} for u, c in rows], "array<struct<spelling:string,canon:string>>"))
+    p = table(spark, sf, "part").select("p_partkey", "p_size", each.alias("u")).select("p_partkey", "p_size", "u.*")
     return p.select("spelling", "canon", "p_partkey", T.parse_quantity(F.concat(text_of("p_size"), F.lit(" "), "spelling"), F.col("canon"), normalized=True)["value"].alias("value"))
 
 
-@query()
-def unit_convert_all(spark, sf):
-    """Every part in every spelling; ``unit_convert`` and its SQL read every fiftieth part."""
-    return _converted(spark, table(spark, sf, "part"))
 
-@query("""SELECT p_partkey, trim(regexp_replace(regexp_replace(lower(p_name || '--' || p_type || ' / X!'), '[\\s\\-_/]+', ' ', 'g'), '[^\\w\\s.]', '', 'g')) AS name FROM part""")
+@query("""SELECT p_partkey, trim(regexp_replace(regexp_replace(replace(lower(p_name || '--' || p_type || ' / X! ÄGRÖßE Жовтий'), 'ß', 'ss'), '[\\s\\-_/]+', ' ', 'g'), '[^\\p{L}\\p{N}_\\s.]', '', 'g')) AS name FROM part""")
 def canonical_string(spark, sf):
-    return table(spark, sf, "part").select("p_partkey", T.canonical_string(F.concat("p_name", F.lit("--"), "p_type", F.lit(" / X!"))).alias("name"))
+    return table(spark, sf, "part").select("p_partkey", T.canonical_string(F.concat("p_name", F.lit("--"), "p_type", F.lit(" / X! ÄGRÖßE Жовтий"))).alias("name"))
 
 
 @query("""SELECT event_id, CASE WHEN event_type IN ('view', 'click') THEN TRUE WHEN event_type IN ('signup', 'purchase') THEN FALSE END AS included, CASE event_type WHEN 'view' THEN 'brushless' WHEN 'signup' THEN 'brushed' ELSE event_type END AS motor FROM events""")
@@ -108,8 +104,10 @@ def bool_enum_normalize(spark, sf):
     said = F.create_map(*[F.lit(x) for x in ("view", "Yes", "click", "Included", "signup", "Not  included", "purchase", "SOLO", "error", "maybe")])
     motor = F.when(F.col("event_type") == "view", "Brushless (EC)").when(F.col("event_type") == "signup", "Carbon-brushed").otherwise(F.col("event_type"))
     e = table(spark, sf, "events").select("event_id", F.try_element_at(said, F.col("event_type")).alias("b"), motor.alias("m"))
-    n = lambda c, kind, field: T.normalize_value(F.col(c), F.lit(kind), F.lit(None).cast("string"), F.lit(field))
-    return e.select("event_id", n("b", "bool", "battery_included")["bool"].alias("included"), n("m", "enum", "motor_type")["str"].alias("motor"))
+    none = F.lit(None).cast("string")
+    e = C.with_values(e, F.col("b"), F.lit("bool"), none, F.lit("battery_included"), "x")
+    e = C.with_values(e, F.col("m"), F.lit("enum"), none, F.lit("motor_type"), "y")
+    return e.select("event_id", F.col("x.bool").alias("included"), F.col("y.str").alias("motor"))
 
 
 # ---- URLs and pages ----
@@ -141,10 +139,13 @@ def html_to_text(spark, sf):
     return text.select("page_id", F.length("t").alias("n_chars"), F.sha2("t", 256).alias("sha"))
 
 
-@query("SELECT page_id, 'other' AS kind FROM pages")
+@query("SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'other' WHEN 1 THEN 'product' WHEN 2 THEN 'listing' ELSE 'document' END AS kind FROM pages")
 def page_kind(spark, sf):
-    read = C.read_pages(table(spark, sf, "pages").withColumn("text", F.lit(None).cast("string")))
-    return read.select("page_id", F.col("page_kind").alias("kind"))
+    """Pages as they are, behind a product's data, before four offers to buy, and as files with text only."""
+    i, html = F.col("page_id") % 4, F.col("html")
+    ld = F.lit('<script type="application/ld+json">{"@graph":[{"@type":["Thing","Product"],"name":"x"}]}</script>')
+    p = table(spark, sf, "pages").select("page_id", F.when(i == 1, F.concat(ld, html)).when(i == 2, F.concat(html, F.lit("<p>Add to cart</p>Add to basket<p>ADD TO CART</p>add to cart"))).when(i == 0, html).alias("html"), F.when(i == 3, html).alias("text"))
+    return C.read_pages(p).select("page_id", F.col("page_kind").alias("kind"))
 
 
 _LD = ("'<html><head><title>t</title><script type=\"application/ld+json\">{\"@type\":\"Product\",\"name\":\"', p_name, '\",\"brand\":{\"name\":\"', p_brand, '\"},\"mpn\":\"', CAST(p_partkey AS STRING), '\",\"weight\":{\"value\":', CAST(p_size AS STRING), ',\"unitText\":\"kg\"},"
@@ -299,23 +300,17 @@ def circuit_breaker(spark, sf):
 
 
 # ---- copy chains ----
-_WORDS = "regexp_extract_all(lower(substr(text, 1, 200)), '[\\p{L}\\p{N}_]+')"
+_WORDS = "regexp_extract_all(lower(text), '[\\p{L}\\p{M}\\p{Nd}\\p{Pc}]+')"
 
 
-@query(f"""WITH w AS (SELECT doc_id, {_WORDS} AS w FROM documents), s AS (SELECT doc_id, CASE WHEN len(w) < 4 THEN [] ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i+3], ' '))) END AS s FROM w)
-SELECT a.doc_id, len(a.s) AS shingles, CAST(round(1e6 * CASE WHEN len(a.s) = 0 OR len(b.s) = 0 THEN 0 ELSE len(list_intersect(a.s, b.s)) / CAST(len(list_distinct(list_concat(a.s, b.s))) AS DOUBLE) END) AS BIGINT) AS jaccard FROM s a JOIN s b ON b.doc_id = a.doc_id + 1""")
+@query(f"""WITH w AS (SELECT doc_id, {_WORDS} AS w FROM documents), e AS (SELECT doc_id, unnest(list_zip(w, w[2:], w[3:], w[4:])) AS t FROM w),
+s AS (SELECT DISTINCT doc_id, t[1] || ' ' || t[2] || ' ' || t[3] || ' ' || t[4] AS s FROM e WHERE t[4] IS NOT NULL), n AS (SELECT d.doc_id, count(s) AS n FROM documents d LEFT JOIN s USING (doc_id) GROUP BY 1),
+m AS (SELECT a.doc_id, count(*) AS common FROM s a JOIN s b ON b.doc_id = a.doc_id + 1 AND b.s = a.s GROUP BY 1)
+SELECT a.doc_id, a.n AS shingles, CAST(round(1e6 * coalesce(common / CAST(a.n + b.n - common AS DOUBLE), 0)) AS BIGINT) AS jaccard FROM n a JOIN n b ON b.doc_id = a.doc_id + 1 LEFT JOIN m ON m.doc_id = a.doc_id""")
 def shingle_jaccard(spark, sf):
-    return _neighbours(table(spark, sf, "documents").select("doc_id", F.left("text", F.lit(200)).alias("text")))
-
-
-@query()
-def shingle_jaccard_whole(spark, sf):
-    """Over whole texts; ``shingle_jaccard`` and its SQL read the first 200 characters."""
-    return _neighbours(table(spark, sf, "documents"))
-
-
-def _neighbours(docs):
-    d = docs.select("doc_id", T.shingles(F.col("text")).alias("s"))
+    """Whole texts, each beside the next."""
+    worded = barrier(table(spark, sf, "documents").select("doc_id", T.words_in(F.col("text")).alias("w")))
+    d = worded.select("doc_id", T.shingles_of(F.col("w")).alias("s"))
     other = d.select((F.col("doc_id") - 1).alias("doc_id"), F.col("s").alias("t"))
     return d.join(other, "doc_id").select("doc_id", F.size("s").cast("long").alias("shingles"), F.round(T.jaccard(F.col("s"), F.col("t")) * 1e6).cast("long").alias("jaccard"))
 
@@ -427,9 +422,7 @@ def stream_ledger(spark, sf):
     files = spark.readStream.schema(batch.schema).option("pathGlobFilter", "events.parquet" if not sf.startswith("viewfs") else "*.parquet")
     stream = files.parquet(sf)
     seen = stream.select(text_of("user_id").alias("domain"), F.lit("generic").alias("category"), F.col("event_type").alias("field"), (F.col("value") >= 50).cast("long").alias("agree"), (F.col("value") < 50).cast("long").alias("disagree"))
-    checkpoint(spark.range(1).toDF("x"))  # names the shared folder
-    folder = f"{spark.sparkContext.getCheckpointDir()}/{next(tempfile._get_candidate_names())}"
-    return S.run_to_end(spark, seen, folder).select("domain", "field", "alpha", "beta")
+    return S.run_to_end(spark, seen, f"{folder(spark)}/stream-{uuid.uuid4().hex}").select("domain", "field", "alpha", "beta")
 
 
 @query(_FIXPOINT + """, h AS (SELECT p, 'color' AS field, 0.6 * (1 - round(confidence, 3)) AS pr, 4 AS o FROM dec5 WHERE status <> 'verified'
@@ -503,16 +496,39 @@ def eval_metrics(spark, sf):
 
 
 # ---- everything ----
-@query()
-def resolve_products(spark, sf):
-    """Names to documents over recorded pages of all parts: three pages each, one of them a copy's mistake."""
+_SITES = [("maker.example", "A", 0), ("facts.example", "B", 0), ("shop.example", "C", 1)]
+
+
+def _part_web(spark, sf):
+    """Names, index and pages of all parts: three pages each, one of them with a weight of its own."""
     p = table(spark, sf, "part").select(text_of("p_partkey").alias("product_id"), F.concat(F.lit("GSR "), F.col("p_partkey") + 100, F.lit("V-35")).alias("m"), "p_size")
     names = p.select("product_id", F.concat(F.lit("Bosch "), "m", F.lit(" solo drill")).alias("name"))
-    site = F.explode(F.array(*[F.struct(F.lit(d).alias("d"), F.lit(t).alias("t"), F.lit(x).alias("x")) for d, t, x in (("maker.example", "A", 0), ("facts.example", "B", 0), ("shop.example", "C", 1))]))
+    site = F.explode(F.array(*[F.struct(F.lit(d).alias("d"), F.lit(t).alias("t"), F.lit(x).alias("x")) for d, t, x in _SITES]))
     each = p.select("product_id", "m", "p_size", site.alias("s"))
     url = F.concat(F.lit("https://"), "s.d", F.lit("/"), "product_id")
     html = F.concat(F.lit("<html><body><h1>Bosch "), "m", F.lit("</h1><table><tr><td>Weight</td><td>"), (F.col("p_size") + F.col("s.x") * 50).cast("string"), F.lit(" kg</td></tr><tr><td>Voltage</td><td>12 V</td></tr><tr><td>Max. torque (hard/soft)</td><td>35 / 20 Nm</td></tr></table></body></html>"))
     index = each.select(F.col("product_id").cast("int").alias("lead_ord"), url.alias("url"), F.lit(None).cast("string").alias("file"), F.col("s.t").alias("tier"), F.lit(None).cast("string").alias("title"), F.lit(None).cast("string").alias("snippet"), F.array("m").alias("match_any"), F.lit(None).cast("array<string>").alias("require_all"), F.lit(None).cast("array<string>").alias("ids"))
-    local = each.select(url.alias("url"), F.lit("text/html").alias("mime"), html.cast("binary").alias("data"))
-    out = R.resolve(spark, names, index, local, now="2026-01-01T00:00:00Z")["resolved"]
-    return out.where("status <> 'unknown'").select("product_id", "field", "status", "confidence", "value", "independent_votes")
+    return names, index, each.select(url.alias("url"), F.lit("text/html").alias("mime"), html.cast("binary").alias("data"))
+
+
+# A maker's page and a catalogue state the same block of facts, so they are one vote of two claims; a shop has another
+# weight.  After the first vote the sources weigh by their right facts: four of four, and three.
+@query("""WITH f(field, agreed) AS (VALUES ('weight_g', FALSE), ('voltage_v', TRUE), ('max_torque_hard_nm', TRUE), ('max_torque_soft_nm', TRUE)),
+w AS (SELECT 1.0 * (1 + 0.1 * ln(2)) * 2 * (1 + 4) / CAST(2 + 4 AS DOUBLE) AS won, 0.45 * 2 * (1 + 3) / CAST(2 + 4 AS DOUBLE) AS lost), c AS (SELECT 0.5 + 0.5 * (won - lost) / (won + lost) AS conf FROM w)
+SELECT CAST(p_partkey AS VARCHAR) AS product_id, f.field, 'verified' AS status, CAST(round(CASE WHEN agreed THEN 0.99 ELSE greatest(conf, 0.86) END * 1000) AS BIGINT) AS confidence,
+CASE f.field WHEN 'weight_g' THEN CAST(p_size * 1000 AS VARCHAR) WHEN 'voltage_v' THEN '12' WHEN 'max_torque_hard_nm' THEN '35' ELSE '20' END AS value, CASE WHEN agreed THEN 2 ELSE 1 END AS independent_votes FROM part, f, c""")
+def resolve_products(spark, sf):
+    """Names to resolved attributes over the pages of all parts."""
+    out = R.resolve(spark, *_part_web(spark, sf), now="2026-01-01T00:00:00Z")["resolved"]
+    return out.where("status <> 'unknown'").select("product_id", "field", "status", _scaled("confidence").alias("confidence"), "value", F.col("independent_votes").cast("int").alias("independent_votes"))
+
+
+@query(f"""WITH p AS (SELECT page_id, {_NORM} AS u, url, html FROM pages), l AS (SELECT u, max(html) AS html, max(page_id) AS last, page_id % 2 AS odd FROM p GROUP BY u, page_id % 2)
+SELECT p.page_id, 'text/html' AS mime, 'sha256:' || sha256((SELECT l.html FROM l WHERE l.u = p.u ORDER BY odd LIMIT 1)) AS snapshot FROM p""")
+def page_rejoin(spark, sf):
+    """Pages met by their normal URLs: wanted with tracking parameters and capital hosts, half of them cached only."""
+    p = table(spark, sf, "pages").select("page_id", T.normalize_url(F.col("url")).alias("u"), F.col("html").cast("binary").alias("data"))
+    wanted = p.select("page_id", F.concat(F.col("u"), F.when(F.col("u").contains("?"), "&").otherwise("?"), F.lit("utm_source=x#top")).alias("url"))
+    local = p.where("page_id % 2 = 0").select(F.col("u").alias("url"), F.lit("text/html").alias("mime"), "data")
+    cache = p.where("page_id % 2 = 1").select(F.sha2("u", 256).alias("key"), F.col("u").alias("final_url"), F.lit(200).alias("status"), F.lit("text/html").alias("mime"), F.hex("data").alias("data"))
+    return L.fetch(wanted, local, cache).select("page_id", "mime", L.snapshot(F.col("data")).alias("snapshot"))

@@ -6,9 +6,16 @@ from pyspark.sql import functions as F
 from factloom.dims import ATTRIBUTES, UNITS
 from factloom.functions import html as H
 from factloom.functions import text as T
+from factloom.operators import claims as C
 from factloom.operators import understand as U
 
 
+def values(spark, rows):
+    """Values of (raw, kind, unit, field)."""
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, a string, b string, c string, d string")
+    return [r["value"] for r in C.with_values(df, F.col("a"), F.col("b"), F.col("c"), F.col("d")).orderBy("i").collect()]
+
+
 def apply(spark, f, rows, ddl="a string"):
     df = spark.createDataFrame([(i, *(r if isinstance(r, tuple) else (r,))) for i, r in enumerate(rows)], "i int, " + ddl)
     return [r["x"] for r in df.select("i", f(*[F.col(c) for c in df.columns[1:]]).alias("x")).orderBy("i").collect()]
@@ -30,13 +37,13 @@ def test_values(spark):
     cases = [("0.59 kg", "weight_g", 590), ("2.65 lb", "weight_g", 1202.0188), ("12 V", "voltage_v", 12), ("0 – 1,750 rpm", "no_load_speed_rpm", 1750), ("3 years", "warranty_months", 36), ("24 місяці", "warranty_months", 24), ("12 kg", "voltage_v", None),
              ("5000 mAh", "battery_capacity_ah", 5), ("6.1 in", "display_in", 6.1), ("10-15 kg", "weight_g", 15000), ("24", "warranty_months", 24), ("", "weight_g", None)]
     rows = [(raw, spec[k]["kind"], spec[k]["unit"], k) for raw, k, _ in cases]
-    got = apply(spark, T.normalize_value, rows, "a string, b string, c string, d string")
+    got = values(spark, rows)
     assert [None if g is None else g["num"] for g in got] == [None if c[2] is None else pytest.approx(c[2]) for c in cases]
     words = [("Brushless (EC)", "enum", "motor_type", "brushless"), ("Щітковий", "enum", "motor_type", "brushed"), ("  Two   words ", "string", "color", "Two words")]
-    assert [g["str"] for g in apply(spark, T.normalize_value, [(r, k, None, f) for r, k, f, _ in words], "a string, b string, c string, d string")] == [w[3] for w in words]
+    assert [g["str"] for g in values(spark, [(r, k, None, f) for r, k, f, _ in words])] == [w[3] for w in words]
     bools = [("Yes", True), ("12 V", True), ("not included", False), ("notebook", False), ("maybe", None), ("ТАК", True)]
-    assert [g and g["bool"] for g in apply(spark, T.normalize_value, [(r, "bool", None, "battery_included") for r, _ in bools], "a string, b string, c string, d string")] == [b for _, b in bools]
-    assert apply(spark, T.normalize_value, [("Tool; case, • bits", "list", None, "in_the_box")], "a string, b string, c string, d string")[0]["list"] == ["Tool", "case", "bits"]
+    assert [g and g["bool"] for g in values(spark, [(r, "bool", None, "battery_included") for r, _ in bools])] == [b for _, b in bools]
+    assert values(spark, [("Tool; case, • bits", "list", None, "in_the_box")])[0]["list"] == ["Tool", "case", "bits"]
 
 
 def test_strings(spark):

@@ -19,16 +19,11 @@ def test_search_equals_the_nested_loop(spark):
     assert sorted((r["product_id"], r["lead_ord"]) for r in L.fixture_search(q, i).collect()) == want
 
 
-def test_every_part_is_resolved(spark, sf_dir):
-    got = {r[0] for r in QUERIES["resolve_products"](spark, sf_dir).select("product_id").distinct().collect()}
-    assert got == {str(r[0]) for r in spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey").collect()}
-
-
 def test_every_part_in_every_unit(spark, sf_dir):
     units = {s: (c, f) for s, (c, f) in UNITS.items() if s.isascii() and s.isalpha()}
     parts = {r[0]: r[1] for r in spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_size").collect()}
     half_up = lambda x: float(Decimal(x).quantize(Decimal("0.0001"), ROUND_HALF_UP))  # as in unit_convert's SQL
-    got = {(r["p_partkey"], r["spelling"]): (r["canon"], r["value"]) for r in QUERIES["unit_convert_all"](spark, sf_dir).collect()}
+    got = {(r["p_partkey"], r["spelling"]): (r["canon"], r["value"]) for r in QUERIES["unit_convert"](spark, sf_dir).collect()}
     assert got == {(p, s): (c, half_up(n * f)) for p, n in parts.items() for s, (c, f) in units.items()}
 
 
@@ -42,7 +37,7 @@ def test_whole_texts_are_compared(spark, tmp_path):
         return {" ".join(w[i : i + 4]) for i in range(max(0, len(w) - 3))}
 
     sets = [shingles(t) for t in texts]
-    got = {r["doc_id"]: (r["shingles"], r["jaccard"]) for r in QUERIES["shingle_jaccard_whole"](spark, str(tmp_path)).collect()}
+    got = {r["doc_id"]: (r["shingles"], r["jaccard"]) for r in QUERIES["shingle_jaccard"](spark, str(tmp_path)).collect()}
     for i, (a, b) in enumerate(zip(sets, sets[1:])):
         if texts[i] is not None:
             assert got[i] == (len(a), round(1e6 * len(a & b) / len(a | b)) if a and b else 0), i
