@@ -7,6 +7,7 @@ import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 #: Classes of the task's words: ASCII space and \t \n \v \f \r, nothing else.
 SPACE_RE = r"[\x20\x09-\x0D]+"
@@ -40,6 +41,42 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: A key that more than one in so many rows have is hot; there are fewer than that many hot keys.
+HOT = 1000
+
+
+def hot_join(rows: DataFrame, facts: DataFrame, key: str, count: str, total: int, how: str = "inner") -> DataFrame:
+    """``rows`` with the ``facts`` of their key, a row a key; ``count``: the key's rows, ``total``: all rows.
+
+    Facts of hot keys, fewer than ``HOT`` whatever the data, are broadcast, so their rows stay where they are; the rest
+    meet by a shuffle, where no key has more than a thousandth of the rows.  ``facts`` is read twice: a written table.
+    """
+    hot = F.col(count) * HOT > total
+    few = F.broadcast(facts.where(hot).drop(count))
+    far = rows.join(F.broadcast(facts.where(hot).select(key)), key, "left_anti").join(facts.where(~hot).drop(count), key, how)
+    return rows.join(few, key).select(*far.columns).unionByName(far)
+
+
+def quoted(name: str) -> Column:
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def packed(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, text, rest): the other columns in one struct, where their names clash with nothing."""
+    rest = [f for f in docs.schema.fields if f.name not in (key, text)]
+    none = "__none"
+    while none in docs.columns:
+        none += "_"
+    kind = StructType([StructField(none, IntegerType()), *[StructField(f.name, f.dataType) for f in rest]])  # nullable, as Arrow returns it
+    inner = F.struct(F.lit(0).alias(none), *[quoted(f.name) for f in rest]).cast(kind)
+    return docs.select(quoted(key).alias("key"), quoted(text).alias("text"), inner.alias("rest"))
+
+
+def unpacked(df: DataFrame, columns: list[str], key: str, text: str, *more: str | Column) -> DataFrame:
+    own = {key: F.col("key"), text: F.col("text")}
+    return df.select(*[(own[c] if c in own else F.col("rest")[c]).alias(c) for c in columns], *more)
+
+
 def constant(values: object, ddl: str) -> Column:
     """A literal of any type from bounded driver-side values; Catalyst folds it once per query."""
     return F.from_json(F.lit(json.dumps(values)), ddl)

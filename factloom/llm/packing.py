@@ -4,14 +4,16 @@ The instance is the histogram of piece lengths, which has at most ``capacity`` e
 On it, ``plan`` fixes sets that dominate every alternative and packs the rest by best fit, decreasing; both
 work on whole classes of equal lengths, so the plan is a bounded table of (pattern, copies).  The pieces then
 take their places by their rank among the pieces of their length.  Ranks come from counts per (length, hash
-bucket) and a window inside each, so a length that a third of all pieces share is spread over the buckets.
+bucket) and a window inside each, with as many buckets as a length's pieces ask for, so one that a third of all pieces
+share is spread.  Full pieces are sequences by themselves.
 
 Tokens: a text's ids are those of its chunks between ASCII white space, because the tokenizer's normaliser,
 splitter and special tokens never reach over it; and a chunk's are those of the splitter's pieces.  Each worker
 keeps the ids of the chunks and pieces it has met, up to a bound, and encodes the rest in batches.
 
-Defined results: a null text is empty and still has its end token; repeated rows are packed separately;
-an empty table gives no sequences.
+Defined results: a null text is empty and still has its end token; a null key is a key like others; repeated
+rows are packed separately, ties in rank go by key, piece and checksum; an empty table gives no sequences; other
+columns play no part.
 """
 
 from __future__ import annotations
@@ -29,15 +31,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import checkpoint, table
+from .common import checkpoint, constant, table
 
 CAPACITY = 4096
 END = 1
-#: Chunks whose ids a worker keeps; it forgets all of them beyond that.
-CACHED = 1_000_000
+#: Chunks whose ids a worker keeps, and bytes of them with their ids; it forgets all of them beyond either.
+CACHED, CACHED_BYTES = 1_000_000, 96 << 20
 #: Characters of text encoded at once.
 SLICE = 4 << 20
-BUCKETS = 256
+#: Pieces of one length that are ranked in one window, about.
+RANKED = 100_000
 
 assert sys.byteorder == "little" and array("I").itemsize == 4
 
@@ -56,6 +59,7 @@ class ChunkEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[bytes, bytes] = {}
+        self.held = 0
 
     @staticmethod
     def of(path: str) -> ChunkEncoder:
@@ -73,8 +77,8 @@ class ChunkEncoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         # The normaliser makes A-Z small and drops white space anyway; so it may be done first.
         chunks = [t.encode().lower().split() for t in texts]
-        if len(self.known) > CACHED:
-            self.known = {}
+        if len(self.known) > CACHED or self.held > CACHED_BYTES:
+            self.known, self.held = {}, 0
         known = self.known
         found = [list(map(known.get, own)) for own in chunks]
         holes = [[i for i, x in enumerate(f) if x is None] if None in f else [] for f in found]
@@ -84,6 +88,7 @@ class ChunkEncoder:
         get = known.__getitem__
         known.update({c: b"".join(map(get, own)) for c, own in cut.items() if len(own) > 1})
         self._learn([c for c in fresh if c not in cut])
+        self.held += sum(len(c) + len(known[c]) for c in fresh)
         for own, f, hole in zip(chunks, found, holes, strict=True):
             for i in hole:
                 f[i] = known[own[i]]
@@ -251,9 +256,14 @@ def pack(pieces: DataFrame, key: str = "doc_id", *, capacity: int = CAPACITY) ->
     count = np.zeros(capacity + 1, np.int64)
     for n, k in sizes.items():
         count[n] = k
+    # A full piece is a sequence by itself and needs no rank: its number is below 0.
+    full = pieces.where(F.col("length") == capacity).withColumns({"sequence_id": -1 - F.monotonically_increasing_id(), "offset": F.lit(0).cast("long")})
+    count[capacity] = 0
     slots = _slots(plan(count, capacity))
 
-    dealt = pieces.withColumn("__bucket", F.pmod(F.xxhash64(key, "piece"), F.lit(BUCKETS)).cast("int"))
+    parts = constant((count // RANKED + 1).tolist(), "array<int>")
+    dealt = pieces.where(F.col("length") < capacity).withColumn("__bucket", F.pmod(F.xxhash64(key, "piece"), F.get(parts, F.col("length").cast("int"))).cast("int"))
+    # The number of cells is at most that of lengths and one for each RANKED pieces.
     cells = dealt.groupBy("length", "__bucket").agg(F.count("*").alias("n"))
     upto = Window.partitionBy("length").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     base = cells.select("length", "__bucket", F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("__base"))
@@ -275,7 +285,7 @@ def pack(pieces: DataFrame, key: str = "doc_id", *, capacity: int = CAPACITY) ->
             yield pa.record_batch([*kept.columns, pa.array(sequence), pa.array(offset)], [*kept.schema.names, "sequence_id", "offset"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema.fields)
-    return ranked.mapInArrow(place, f"{fields}, sequence_id long, offset long")
+    return ranked.mapInArrow(place, f"{fields}, sequence_id long, offset long").unionByName(full)
 
 
 def sequences(docs: DataFrame, key: str = "doc_id", text: str = "text", *, tokenizer: str | None = None, capacity: int = CAPACITY, end: int = END) -> DataFrame:

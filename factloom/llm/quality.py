@@ -11,7 +11,8 @@ of the labelled ids (the smallest by hash), so their join is a broadcast of prov
 has a fixed size and goes into the plan as a constant.
 
 Defined results: a null text has no words, and scores 0; with no trusted documents all ratios are 0; null ids
-are never trusted; repeated rows count as often as they are there; other columns pass through ``rated``.
+are never trusted; repeated rows count as often as they are there; an empty table gives an empty result; other columns,
+whatever their names, pass through ``rated`` (those named like a rating give way to it) and all through ``keep_good``.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from math import log
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE_RE, constant, table
+from .common import SPACE_RE, constant, packed, quoted, table, unpacked
 
 BUCKETS = 16_384
 #: Trusted documents that the target is fitted on, at most.
@@ -43,18 +44,15 @@ def with_words(docs: DataFrame, text: str) -> DataFrame:
     return docs.withColumn("__words", words_of(F.col(text))).withColumn("__n", F.size("__words"))
 
 
-def with_buckets(worded: DataFrame) -> DataFrame:
-    """``__bins``: the bins of all words, then those of all pairs of neighbours."""
-    w, n = F.col("__words"), F.col("__n")
-    h = F.transform(w, lambda x: F.xxhash64(x))
-    hashed = worded.withColumn("__h", h)
-    bins = F.concat(
-        F.transform("__h", lambda x: F.pmod(x, F.lit(BUCKETS)).cast("int")),
-        F.when(n < 2, F.array().cast("array<int>")).otherwise(
-            F.zip_with(F.slice("__h", 1, n - 1), F.slice("__h", 2, n - 1), lambda a, b: F.pmod(F.xxhash64(a, b), F.lit(BUCKETS)).cast("int"))
-        ),
-    )
-    return hashed.withColumn("__bins", bins)
+def bin_of(h: Column) -> Column:
+    return F.pmod(h, F.lit(BUCKETS)).cast("int")
+
+
+def with_hashes(worded: DataFrame) -> DataFrame:
+    """``__h``: hashes of the words; ``__pairs``: of all pairs of neighbours, made from theirs."""
+    n = F.greatest(F.col("__n") - 1, F.lit(0))
+    hashed = worded.withColumn("__h", F.transform("__words", lambda x: F.xxhash64(x)))
+    return hashed.withColumn("__pairs", F.zip_with(F.slice("__h", 1, n), F.slice("__h", 2, n), lambda a, b: F.xxhash64(a, b)))
 
 
 def ratios(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> list[float]:
@@ -62,8 +60,12 @@ def ratios(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str =
     trusted = labels.where((F.col("quality") == 1) & F.col(key).isNotNull()).select(F.col(key).alias("__k")).distinct()
     trusted = trusted.orderBy(F.xxhash64("__k"), "__k").limit(TRUSTED)
     marked = docs.select(key, text).join(F.broadcast(trusted), F.col(key) == F.col("__k"), "left")
-    bins = with_buckets(with_words(marked.select(text, F.col("__k").isNotNull().cast("long").alias("__t")), text))
-    sums = bins.select("__t", F.explode("__bins").alias("b")).groupBy("b").agg(F.count("*").alias("raw"), F.sum("__t").alias("target")).collect()
+    worded = with_words(marked.select(text, F.col("__k").isNotNull().cast("long").alias("__t")), text)
+    # A row for each word, beside the next one: from here on all is compiled code.
+    each = worded.select("__t", F.explode(F.arrays_zip(F.col("__words").alias("w"), F.slice("__words", 2, F.greatest("__n", F.lit(0))).alias("x"))).alias("z")).select("__t", F.xxhash64("z.w").alias("h"), F.col("z.x").alias("x"))
+    pair = F.when(F.col("x").isNotNull(), bin_of(F.xxhash64("h", F.xxhash64("x"))))
+    bins = each.select("__t", F.explode(F.array(bin_of(F.col("h")), pair)).alias("b")).where("b is not null")
+    sums = bins.groupBy("b").agg(F.count("*").alias("raw"), F.sum("__t").alias("target")).collect()
     raw, target = [0] * BUCKETS, [0] * BUCKETS
     for r in sums:
         raw[r["b"]], target[r["b"]] = r["raw"], r["target"]
@@ -89,9 +91,9 @@ def _repeated_words(worded: DataFrame) -> DataFrame:
     The windows' hashes are sorted with their places; those with an equal neighbour repeat, and the words
     they cover are counted over their places in order.
     """
-    w, n = F.col("__words"), F.col("__n")
-    window = lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2))
-    grams = F.when(n < 4, F.array().cast("array<bigint>")).otherwise(F.transform(F.sequence(F.lit(0), n - 3), window))
+    n = F.greatest(F.col("__n") - 2, F.lit(0))
+    # A window is a pair and the word behind it; texts of up to three words have no two.
+    grams = F.zip_with(F.slice("__pairs", 1, n), F.slice("__h", 3, n), lambda a, b: F.xxhash64(a, b))
     hashed = worded.withColumn("__g", grams)
     some = F.size(F.array_distinct("__g")) < F.size("__g")
     # Only where there is a repeated window at all is the rest needed.
@@ -109,33 +111,32 @@ def _repeated_words(worded: DataFrame) -> DataFrame:
 def rated(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", *, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, score, kept, which
     take the place of columns of these names."""
-    docs = docs.drop(*RATINGS)
-    weights = constant(ratios(docs, labels, key, text), "array<double>")
-    worded = with_words(docs, text)
+    own = [c for c in docs.columns if c not in RATINGS]
+    rows = docs.select(F.struct(*[quoted(c) for c in own]).alias("__row"), quoted(key).alias("__key"), quoted(text).alias("__text"))
+    weights = constant(ratios(rows.select(F.col("__key").alias(key), F.col("__text").alias(text)), labels, key, text), "array<double>")
+    worded = with_words(rows, "__text")
     n = F.col("__n")
-    lines = F.filter(F.split(F.coalesce(F.col(text), F.lit("")), "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+    lines = F.filter(F.split(F.coalesce("__text", F.lit("")), "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     counted = worded.withColumns({
         "n_words": n.cast("long"),
         "word_chars": F.length(F.array_join("__words", "")).cast("long"),
-        "n_symbols": _symbols(F.col(text)),
+        "n_symbols": _symbols(F.col("__text")),
         "__lines": lines,
     })
     counted = counted.withColumn("n_dup_lines", (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long")).drop("__lines")
-    counted = with_buckets(_repeated_words(counted))
-    total = F.aggregate("__bins", F.lit(0.0), lambda a, b: a + F.get(weights, b))
-    scored = counted.withColumn("score", F.when(n > 0, total / F.size("__bins")).otherwise(0.0))
+    counted = _repeated_words(with_hashes(counted))
+    total = lambda c: F.aggregate(c, F.lit(0.0), lambda a, h: a + F.get(weights, bin_of(h)))
+    scored = counted.withColumn("score", F.when(n > 0, (total("__h") + total("__pairs")) / (F.size("__h") + F.size("__pairs"))).otherwise(0.0))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     scored = scored.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold))
     # A generator of one row: a filter above does not move below it, where it would repeat all this work.
-    return scored.select(F.inline(F.array(F.struct(*docs.columns, *RATINGS))))
+    return scored.select(F.inline(F.array(F.struct("__row", *RATINGS)))).select("__row.*", *RATINGS)
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The kept rows, with their own columns, whatever their names."""
-    rest = [c for c in docs.columns if c not in (key, text)]
-    packed = docs.select(key, text, F.struct(F.lit(0).alias("__none"), *rest).alias("__rest"))
-    kept = rated(packed, labels, key, text).where("kept")
-    return kept.select(*[F.col(c) if c in (key, text) else F.col("__rest")[c].alias(c) for c in docs.columns])
+    kept = rated(packed(docs, key, text), labels.withColumnRenamed(key, "key"), "key", "text").where("kept")
+    return unpacked(kept, docs.columns, key, text)
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpoint, table
+from .common import checkpoint, hot_join, packed, table, unpacked
 
 #: In the order in which spans with one start are listed.
 KINDS = ["assign", "access", "hex", "vendor", "jwt", "pem"]
@@ -92,11 +92,11 @@ def scan(docs: DataFrame, key: str, text: str, owner: str) -> DataFrame:
 
 
 def ownership(found: DataFrame, key: str) -> DataFrame:
-    """(value, owners, repositories, live) over the corpus."""
+    """(value, owners, repositories, n, live) over the corpus; n: the value's candidates."""
     each = found.select(F.col(key).alias("repository"), F.col("__owner").alias("owner"), F.explode("__found.value").alias("value"))
-    pairs = each.groupBy("value", "owner", "repository").agg(F.lit(1).alias("one"))
-    by_owner = pairs.groupBy("value", "owner").agg(F.count("*").alias("n"))
-    out = by_owner.groupBy("value").agg(F.count("*").alias("owners"), F.sum("n").alias("repositories"))
+    pairs = each.groupBy("value", "owner", "repository").agg(F.count("*").alias("n"))
+    by_owner = pairs.groupBy("value", "owner").agg(F.count("*").alias("held"), F.sum("n").alias("n"))
+    out = by_owner.groupBy("value").agg(F.count("*").alias("owners"), F.sum("held").alias("repositories"), F.sum("n").alias("n"))
     return out.withColumn("live", F.col("owners") <= MOST_OWNERS)
 
 
@@ -104,7 +104,9 @@ def judged(docs: DataFrame, key: str = "doc_id", text: str = "text", owner: str
     """What ``scan`` gives, in the checkpoint folder, with ``__spans``: (start, kind, end, live) in order."""
     found = checkpoint(scan(docs, key, text, owner).withColumn("__rid", F.monotonically_increasing_id()))
     each = found.where(F.size("__found") > 0).select("__rid", F.explode("__found").alias("c")).select("__rid", "c.*")
-    told = each.join(ownership(found, key).select("value", "live"), "value")
+    facts = checkpoint(ownership(found, key).select("value", "live", "n"))
+    total = facts.agg(F.sum("n")).first()[0] or 0
+    told = hot_join(each, facts, "value", "n", total)
     span = F.struct("start", "kind", "end", (F.col("live") & ~F.col("filler")).alias("live"))
     spans = told.groupBy("__rid").agg(F.array_sort(F.collect_list(span)).alias("__spans"))
     return found.join(spans, "__rid", "left")
@@ -128,9 +130,10 @@ def secret_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", owner
 def redact(docs: DataFrame, key: str = "doc_id", text: str = "text", owner: str = "source", *, mask: str = "[secret]") -> DataFrame:
     """The rows with every live-looking span masked; widely copied examples and filler stay."""
     nil = F.lit("0").cast(docs.schema[key].dataType)
-    name = lambda c: F.xxhash64(F.coalesce(F.col(key), nil), F.col(key).isNull(), c)
-    live = judged(docs, key, text, owner).select(name(F.col("__mark")).alias("__name"), F.filter("__spans", lambda s: s["live"]).alias("__live"))
-    live = live.where(F.size("__live") > 0).groupBy("__name").agg(F.first("__live").alias("__live"))
+    rows = packed(docs.withColumn(text, F.col(text).cast("string")), key, text).withColumn("owner", F.col("rest")[owner].cast("string"))
+    name = lambda mark: F.xxhash64(F.coalesce("key", nil), F.col("key").isNull(), mark)
+    live = judged(rows, "key", "text", "owner").select(name(F.col("__mark")).alias("name"), F.filter("__spans", lambda s: s["live"]).alias("live"))
+    live = live.where(F.size("live") > 0).groupBy("name").agg(F.first("live").alias("live"))
 
     @F.arrow_udf("string")
     def masked(texts: pa.Array, spans: pa.Array) -> pa.Array:
@@ -144,8 +147,8 @@ def redact(docs: DataFrame, key: str = "doc_id", text: str = "text", owner: str
             out.append("".join([*parts, t[at:]]) if own else t)
         return pa.array(out, pa.string())
 
-    named = docs.withColumn("__name", name(F.xxhash64(text))).join(live, "__name", "left")
-    return named.withColumn(text, masked(F.col(text), F.col("__live"))).select(*docs.columns)
+    named = rows.withColumn("name", name(F.xxhash64("text"))).join(live, "name", "left")
+    return unpacked(named.withColumn("text", masked(F.col("text"), F.col("live"))), docs.columns, key, text)
 
 
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,14 +8,15 @@ equal bytes (each boundary is off by at most one record).  Steps, all of them Da
    sample's quantiles are quantiles of bytes.  At most about ``sample_size`` rows reach the driver.
 3. Its quantiles of (key, tie) split the key space into ``fine`` ranges; ``tie`` is a hash of the record
    number, so one key with a third of all rows spans as many ranges as its bytes need.
-4. Exact sums per range find overfull ranges; these are sampled again and subdivided.
+4. Exact sums per range find overfull ranges; these are sampled again and subdivided until none is overfull.
 5. Running sums inside each range plus the sums of the ranges before give each record's exact place in
    the global order of (key, tie), and with it its shard.  Only (range -> sum) tables, whose size does
    not depend on the data, reach the driver.
 
-Nulls: a null text has size 16 and the checksum of no bytes; null keys come first.  Repeated rows are
-separate records.  An empty table gives an empty result.  Other columns of the input play no part here and
-are carried by ``write_shards``.
+Nulls: a null text has size 16 and the checksum of no bytes; null keys come first, and as
+many ranges as their bytes need are theirs.  Repeated rows are separate records; ties go by a hash of the record's
+number.  An empty table gives an empty result.  Other columns of the input, whatever their names, play no part here
+and are carried by ``write_shards``.
 """
 
 from __future__ import annotations
@@ -25,9 +26,11 @@ from bisect import bisect_right
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import checkpoint, constant, table
+from .common import checkpoint, constant, quoted, table
 
 OVERHEAD = 16
+#: Times that ranges are subdivided, at most; each divides what is left by about the parts asked for.
+ROUNDS = 8
 
 
 def _place(splitters: list[tuple], ddl: str) -> Column:
@@ -40,18 +43,23 @@ def _place(splitters: list[tuple], ddl: str) -> Column:
     here = F.struct(F.col("k"), F.col("t"))
     block = F.size(F.filter(coarse, lambda s: s <= here))
     inside = F.size(F.filter(F.slice(fine, (block - 1) * step + 1, F.lit(step)), lambda s: s <= here))
-    return F.when(F.col("k").isNull() | (block == 0), 0).otherwise((block - 1) * step + inside)
+    return F.when(block == 0, 0).otherwise((block - 1) * step + inside)
+
+
+def _order(at: tuple) -> tuple:
+    """Where a record (k, t) stands, as Spark orders structs: null keys first."""
+    return (at[0] is not None, 0 if at[0] is None else at[0], at[1])
 
 
 def _sampled(records: DataFrame, rate: Column) -> list[tuple]:
     """Keys of the records that a hash of their number picks with the probability ``rate``."""
     draw = F.pmod(F.xxhash64(F.col("rid"), F.lit("draw")), F.lit(1 << 40)) / float(1 << 40)
-    picked = records.where(F.col("k").isNotNull() & (draw < rate)).select("k", "t")
-    return sorted((r["k"], r["t"]) for r in picked.collect())
+    picked = records.where(draw < rate).select("k", "t")
+    return sorted(((r["k"], r["t"]) for r in picked.collect()), key=_order)
 
 
 def _quantiles(keys: list[tuple], parts: int) -> list[tuple]:
-    return sorted({keys[len(keys) * i // parts] for i in range(1, parts)}) if keys else []
+    return sorted({keys[len(keys) * i // parts] for i in range(1, parts)}, key=_order) if keys else []
 
 
 def records_of(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -75,21 +83,22 @@ def assign_shards(
         return records.select("k", "rid", "size", "crc", F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot"))
 
     splitters = _quantiles(_sampled(records, F.col("size") * (sample_size / total)), fine)
-    placed = records.withColumn("cell", _place(splitters, ddl))
-    sums = {r["cell"]: (r["b"], r["n"]) for r in placed.groupBy("cell").agg(F.sum("size").alias("b"), F.count("*").alias("n")).collect()}
-
-    # Overfull ranges: sampled again, as many splitters more as their bytes ask for.
+    # Overfull ranges: sampled again, as many splitters more as their bytes ask for, until none is left.  A record that
+    # is larger than a range by itself does not make one overfull.
     full = 2 * total / fine
-    overfull = {c: -(-b // int(full)) + 1 for c, (b, n) in sums.items() if b > full and n > 1}
-    if overfull:
+    for _ in range(ROUNDS):
+        placed = records.withColumn("cell", _place(splitters, ddl))
+        held = placed.groupBy("cell").agg(F.sum("size").alias("b"), F.count("*").alias("n"), F.max("size").alias("top")).collect()
+        sums = {r["cell"]: (r["b"], r["n"]) for r in held}
+        overfull = {r["cell"]: -(-r["b"] // int(full)) + 1 for r in held if r["b"] - r["top"] > full}
+        if not overfull:
+            break
         rates = {c: min(1.0, 16 * parts / sums[c][1]) for c, parts in overfull.items()}
         rate = constant([rates.get(c, 0.0) for c in range(len(splitters) + 1)], "array<double>")
         found: dict[int, list[tuple]] = {}
         for k in _sampled(placed, F.get(rate, F.col("cell"))):
-            found.setdefault(bisect_right(splitters, k), []).append(k)
-        splitters = sorted({*splitters, *(s for c, ks in found.items() for s in _quantiles(ks, overfull.get(c, 1)))})
-        placed = records.withColumn("cell", _place(splitters, ddl))
-        sums = {r["cell"]: (r["b"], r["n"]) for r in placed.groupBy("cell").agg(F.sum("size").alias("b"), F.count("*").alias("n")).collect()}
+            found.setdefault(bisect_right(splitters, _order(k), key=_order), []).append(k)
+        splitters = sorted({*splitters, *(s for c, ks in found.items() for s in _quantiles(ks, overfull.get(c, 1)))}, key=_order)
 
     before, at = [], [0, 0]
     for c in range(len(splitters) + 1):
@@ -110,13 +119,16 @@ def assign_shards(
 
 
 def write_shards(docs: DataFrame, path: str, n_shards: int, key: str = "doc_id", text: str = "text") -> None:
-    """Writes the records, all columns, as one folder ``__shard=n`` per shard, in slot order."""
-    assert not {"__shard", "__slot", "__rid"} & set(docs.columns)
-    numbered = checkpoint(docs.withColumn("__rid", F.monotonically_increasing_id()))
-    places = assign_shards(numbered.select(F.col(key).alias("__k"), F.col(text).alias("__t")), n_shards, "__k", "__t")
+    """Writes the records, all columns, as one folder ``__shard=n`` per shard, in slot order; where the records have a
+    column of that name, the folders' has more underscores."""
+    part = "__shard"
+    while part in docs.columns:
+        part = "_" + part
+    numbered = checkpoint(docs.select(F.struct(*[quoted(c) for c in docs.columns]).alias("row"), F.monotonically_increasing_id().alias("rid")))
+    places = assign_shards(numbered.select(F.col("row")[key].alias("k"), F.col("row")[text].alias("text")), n_shards, "k", "text")
     # Both are numbered over the same partitions in the same order, so the numbers agree.
-    out = numbered.join(places.select(F.col("rid").alias("__rid"), F.col("shard").alias("__shard"), F.col("slot").alias("__slot")), "__rid")
-    out.drop("__rid").repartitionByRange(n_shards, "__shard", "__slot").sortWithinPartitions("__shard", "__slot").write.partitionBy("__shard").parquet(path)
+    out = numbered.join(places.select("rid", "shard", "slot"), "rid").repartitionByRange(n_shards, "shard", "slot").sortWithinPartitions("shard", "slot")
+    out.select("row.*", F.col("shard").alias(part)).write.partitionBy(part).parquet(path)
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

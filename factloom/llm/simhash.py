@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import near_copies
-from .common import checkpoint, table
+from .common import checkpoint, hot_join, packed, table, unpacked
 
 SEED = 42
 RADIUS = 4
@@ -215,31 +215,36 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", *,
     smallest fingerprint, and the smallest key in the group."""
     marked = with_fingerprint(docs.select(key, text), text, width, "__fp")
     marked = checkpoint(marked.select(key, F.xxhash64(text).alias("__mark"), "__fp"))
-    prints = checkpoint(marked.groupBy(F.col("__fp").alias("fp")).agg(F.min(key).alias("least")))
+    prints = checkpoint(marked.groupBy(F.col("__fp").alias("fp")).agg(F.min(key).alias("least"), F.count("*").alias("rows")))
     roots = components(link_forest(prints.select("fp"), radius))
-    named = prints.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    smallest = named.groupBy("root").agg(F.min("least").alias("__component"))
-    named = named.join(smallest, "root").select(F.col("fp").alias("__fp"), F.col("root").alias("__root"), "__component")
-    return marked.join(named, "__fp").select(key, "__mark", "__fp", "__root", "__component")
+    named = checkpoint(prints.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", "rows", F.coalesce("root", "fp").alias("root")))
+    smallest = checkpoint(named.groupBy("root").agg(F.min("least").alias("__component"), F.count("*").alias("n"), F.sum("rows").alias("rows")))
+    sizes = smallest.agg(F.sum("n"), F.sum("rows")).first()
+    # A component may hold a third of the fingerprints, and a fingerprint a third of the rows.
+    named = checkpoint(hot_join(named, smallest.drop("rows"), "root", "n", sizes[0] or 0).select(F.col("fp").alias("__fp"), F.col("root").alias("__root"), "__component", "rows"))
+    return hot_join(marked, named, "__fp", "rows", sizes[1] or 0).select(key, "__mark", "__fp", "__root", "__component")
 
 
 def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", *, width: int = 5, least: float = 0.8) -> DataFrame:
     """One row of each group that pairs of shingle similarity ``least`` or more make (see ``near_copies``): the
     one with the smallest key, nulls last, then the smallest text hash.  Of rows with equal key and text one stays."""
     nil = F.lit("0").cast(docs.schema[key].dataType)
-    marked = near_copies.with_node(docs.select(key, text), text, width)
-    marked = checkpoint(marked.select(key, F.xxhash64(text).alias("__mark"), "__set.node", "__set.cells"))
+    rows = packed(docs, key, text)
+    marked = near_copies.with_node(rows.select("key", "text"), "text", width)
+    marked = checkpoint(marked.select("key", F.xxhash64("text").alias("mark"), "__set.node", "__set.cells"))
     rough = components(near_copies.rough_edges(marked.select("node", "cells").dropDuplicates(["node"])))
     rough = rough.unionByName(rough.select(F.col("root").alias("node"), "root").distinct())
-    picks = marked.join(rough, "node").groupBy("node", "root").agg(F.min("__mark").alias("__mark"))
-    texts = docs.select(F.col(text).alias("text")).withColumn("__mark", F.xxhash64("text")).join(picks, "__mark").dropDuplicates(["node"])
+    # Of each node one row, before any join: a node may be a third of all rows.
+    first = F.struct(F.col("key").isNull().alias("z"), F.coalesce(F.col("key"), nil).alias("k"), F.col("mark").alias("m"))
+    nodes = checkpoint(marked.groupBy("node").agg(F.min("mark").alias("mark"), F.min(first).alias("first")))
+    picks = nodes.join(rough, "node").select("node", "root", "mark")
+    texts = rows.select("text", F.xxhash64("text").alias("mark")).join(picks, "mark").dropDuplicates(["node"])
     roots = components(near_copies.exact_edges(texts.select("root", "node", "text"), width, least))
-    found = marked.join(roots, "node", "left").select(key, "__mark", F.coalesce("root", "node").alias("__root"))
-    first = found.groupBy("__root").agg(F.min(F.struct(F.col(key).isNull().alias("z"), F.coalesce(F.col(key), nil).alias("k"), F.col("__mark").alias("m"))).alias("s"))
-    names = ["__k", "__z", "__m"]
-    keep = first.select(F.col("s.k").alias("__k"), F.col("s.z").alias("__z"), F.col("s.m").alias("__m")).distinct()
-    rows = docs.withColumns({"__k": F.coalesce(F.col(key), nil), "__z": F.col(key).isNull(), "__m": F.xxhash64(text)})
-    return rows.dropDuplicates(names).join(keep, names, "left_semi").select(*docs.columns)
+    found = nodes.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("s"))
+    names = ["z", "k", "m"]
+    named = rows.withColumns({"k": F.coalesce(F.col("key"), nil), "z": F.col("key").isNull(), "m": F.xxhash64("text")})
+    kept = named.dropDuplicates(names).join(found.select("s.z", "s.k", "s.m").distinct(), names, "left_semi")
+    return unpacked(kept, docs.columns, key, text)
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

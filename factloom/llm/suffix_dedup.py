@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shuffle_partitions, table
+from .common import packed, shuffle_partitions, table, unpacked
 
 LENGTH = 50
 GRAM = 20
@@ -51,6 +51,8 @@ BLOCK = 8 << 20
 BATCH = 100_000
 #: Blocks that must hold a hash before its strings are dealt out by themselves.
 COMMON = 4096
+#: Blocks that rows alike in key and text are dealt over, at most.
+SPREAD = 64
 
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
@@ -501,7 +503,9 @@ def suffix_dedup(docs: DataFrame, finish: Callable, kept: list[str], key: str =
     buckets = max(shuffle_partitions(spark), -(-total // BLOCK))
     mark = "__mark"
     rows = docs.withColumn(text, F.coalesce(F.col(text), F.lit(""))).withColumn(mark, F.xxhash64(text))
-    rows = rows.withColumn("__block", F.pmod(F.xxhash64(key, mark), F.lit(buckets)).cast("int"))
+    # A block is chosen by key, text and place in the scan, so rows that are wholly alike, however many, spread.
+    place = F.pmod(F.monotonically_increasing_id(), F.lit(SPREAD))
+    rows = rows.withColumn("__block", F.pmod(F.xxhash64(key, mark, place), F.lit(buckets)).cast("int"))
     # One exchange, by block, for the three stages that read text.
     rows = rows.repartition(buckets, "__block")
     keys = (key, mark)
@@ -518,8 +522,8 @@ def suffix_dedup(docs: DataFrame, finish: Callable, kept: list[str], key: str =
 
 def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", *, length: int = LENGTH) -> DataFrame:
     """The rows with the repeated passages cut from their text; a text that vanishes wholly goes with its row."""
-    out = suffix_dedup(docs, _Cut(text), [c for c in docs.columns if c != text], key, text, length=length)
-    return out.where((F.length(text) > 0) | (F.col("__removed") == 0)).select(*docs.columns)
+    out = suffix_dedup(packed(docs, key, text), _Cut("text"), ["key", "rest"], "key", "text", length=length)
+    return unpacked(out.where((F.length("text") > 0) | (F.col("__removed") == 0)), docs.columns, key, text)
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,8 +10,10 @@ are chosen by their chi-squared against each category, where the two go together
 category reach the driver, with the rows' places among them.  Scoring covers every row and whole texts, in one
 pass without a shuffle.
 
-Defined results: a null text is empty; rows with null ids or labels do not train; a category without examples
-of both kinds gets probability 0 everywhere; repeated rows score alike; other columns pass through ``scored``.
+Defined results: a null text is empty; rows with null ids or without any label do not train, and a row trains
+only the categories that it has a label for; of repeated ids one text trains; a category without examples of both
+kinds gets probability 0 everywhere; rows of equal texts score alike; an empty table gives an empty result; ties among
+words go by the word; other columns, whatever their names, pass through ``scored``.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import checkpoint, quoted, table
 
 SAMPLE, WORDS, FOLDS = 12_000, 256, 5
 #: Least chi-squared (about the 1e-9 tail) and least documents of a chosen word.
@@ -97,37 +99,52 @@ def _logistic(rows: np.ndarray, cols: np.ndarray, dense: np.ndarray, y: np.ndarr
 
 
 def fit_chain(names: list[str], words: dict[str, int], rows: np.ndarray, cols: np.ndarray, shapes: np.ndarray, labels: np.ndarray, folds: np.ndarray, own_words: list[set[int]] | None = None) -> Chain:
+    """``labels``: 1, 0 or -1 (not known) a row and category.
+
+    A model is fitted on the rows whose label is known.  What later models see of it is, for those rows, predicted
+    by a model of the other folds, and for the rest by the model itself.
+    """
     chain = Chain(names, words, own=own_words or [set(words.values())] * len(names))
     dense = np.c_[shapes, np.ones(len(shapes))]
     for j in range(len(names)):
-        y = labels[:, j].astype(float)
+        y, known = labels[:, j].astype(float), labels[:, j] >= 0
         use = np.isin(np.arange(len(words)), list(chain.own[j])).astype(float)
-        if not len(y) or y.min() == y.max():
+
+        def fitted(some: np.ndarray) -> np.ndarray:
+            there, place = some[rows], np.cumsum(some) - 1
+            return _logistic(place[rows[there]], cols[there], dense[some], y[some], use)
+
+        def predicted(w: np.ndarray) -> np.ndarray:
+            return 1 / (1 + np.exp(-(np.bincount(rows, w[cols], len(y)) + dense @ w[len(words) :])))
+
+        both = lambda some: some.any() and y[some].min() < y[some].max()
+        if not both(known):
             chain.weights.append(None)
             out = np.zeros(len(y))
         else:
-            chain.weights.append(_logistic(rows, cols, dense, y, use))
-            out = np.full(len(y), y.mean())
+            chain.weights.append(fitted(known))
+            out = np.where(known, y[known].mean(), predicted(chain.weights[-1]))
             for f in range(FOLDS):
-                own = folds != f
-                if own.all() or y[own].min() == y[own].max():
-                    continue
-                there = own[rows]
-                place = np.cumsum(own) - 1
-                w = _logistic(place[rows[there]], cols[there], dense[own], y[own], use)
-                z = np.bincount(rows, w[cols], len(y)) + dense @ w[len(words) :]
-                out[~own] = (1 / (1 + np.exp(-z)))[~own]
+                own = known & (folds != f)
+                if (known & ~own).any() and both(own):
+                    out[known & ~own] = predicted(fitted(own))[known & ~own]
         dense = np.c_[dense[:, :-1], out, dense[:, -1:]]
     return chain
 
 
 def fit(docs: DataFrame, labels: DataFrame, categories: list[tuple[str, Column]], key: str = "doc_id", text: str = "text", *, sample_size: int = SAMPLE, words: int = WORDS) -> Chain:
-    """``categories``: (name, truth of ``labels``' columns), in the chain's order."""
+    """``categories``: (name, truth of ``labels``' columns), in the chain's order.
+
+    Of rows with one id the text with the smallest hash trains.  A category without a label for a row leaves the row
+    out of its own model and word choice; a label that is there in several rows is true if any of them is.
+    """
     names = [c for c, _ in categories]
-    truth = F.array(*[F.coalesce(c, F.lit(False)).cast("int") for _, c in categories])
-    known = labels.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("__k")).agg(F.max(truth).alias("__y"))
+    truth = F.array(*[F.max(c.cast("int")) for _, c in categories])
+    known = labels.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("__k")).agg(truth.alias("__y")).where(F.exists("__y", lambda y: y.isNotNull()))
     sample = known.orderBy(F.xxhash64("__k"), "__k").limit(sample_size)
-    texts = docs.select(key, text).join(F.broadcast(sample), F.col(key) == F.col("__k")).select(key, text, "__y")
+    texts = docs.select(F.col(key).alias("__k"), F.col(text).alias("__t")).join(F.broadcast(sample), "__k")
+    texts = texts.groupBy("__k").agg(F.min_by("__t", F.struct(F.xxhash64("__t"), "__t")).alias("__t"), F.first("__y").alias("__y"))
+    texts = checkpoint(texts.select(F.col("__k").alias(key), F.col("__t").alias(text), "__y"))
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -135,19 +152,19 @@ def fit(docs: DataFrame, labels: DataFrame, categories: list[tuple[str, Column]]
             yield pa.record_batch([b.column(2), pa.array(own, pa.list_(pa.string()))], ["y", "w"])
 
     pairs = texts.mapInArrow(split, "y array<int>, w array<string>").select("y", F.explode("w").alias("w"))
-    count = pairs.groupBy("w").agg(F.count("*").alias("n"), *[F.sum(F.get("y", F.lit(j))).alias(f"p{j}") for j in range(len(names))])
-    size = texts.select([F.count("*").alias("n"), *[F.sum(F.get("__y", F.lit(j))).alias(f"p{j}") for j in range(len(names))]]).first()
+    count = pairs.groupBy("w").agg(*[f(F.get("y", F.lit(j))).alias(f"{c}{j}") for j in range(len(names)) for c, f in (("n", F.count), ("p", F.sum))])
+    size = texts.select([f(F.get("__y", F.lit(j))).alias(f"{c}{j}") for j in range(len(names)) for c, f in (("n", F.count), ("p", F.sum))]).first()
     chosen: dict[str, int] = {}
     own_words: list[set[int]] = [set() for _ in names]
     for j in range(len(names)):
-        total, positive = size["n"], size[f"p{j}"] or 0
+        total, positive = size[f"n{j}"], size[f"p{j}"] or 0
         if not 0 < positive < total:
             continue
-        a, n = F.col(f"p{j}").cast("double"), F.col("n").cast("double")
+        a, n = F.coalesce(F.col(f"p{j}").cast("double"), F.lit(0.0)), F.col(f"n{j}").cast("double")
         away = a - n * positive / total
         spread = n * (total - n) * (positive / total) * (1 - positive / total) / total
         chi2 = F.when((spread > 0) & (away > 0), away * away / spread).otherwise(0.0)
-        best = count.where(F.col("n") >= LEAST_DOCS).select("w", chi2.alias("c")).where(F.col("c") >= LEAST_CHI2)
+        best = count.where(F.col(f"n{j}") >= LEAST_DOCS).select("w", chi2.alias("c")).where(F.col("c") >= LEAST_CHI2)
         for r in best.orderBy(F.desc("c"), "w").limit(words).collect():
             own_words[j].add(chosen.setdefault(r["w"], len(chosen)))
 
@@ -159,11 +176,11 @@ def fit(docs: DataFrame, labels: DataFrame, categories: list[tuple[str, Column]]
             fold = [zlib.crc32(str(k).encode()) % FOLDS for k in b.column(0).to_pylist()]
             yield pa.record_batch([b.column(0).cast(pa.string()), pa.array(fold, pa.int32()), b.column(2), pa.array([m[0] for m in made], pa.list_(pa.int32())), pa.array([m[1] for m in made], pa.list_(pa.float64()))], ["k", "fold", "y", "x", "s"])
 
-    got = sorted(texts.mapInArrow(place, "k string, fold int, y array<int>, x array<int>, s array<double>").collect())
+    got = sorted(texts.mapInArrow(place, "k string, fold int, y array<int>, x array<int>, s array<double>").collect(), key=lambda r: r["k"])
     rows = np.array([i for i, r in enumerate(got) for _ in r["x"]], np.intp)
     cols = np.array([c for r in got for c in r["x"]], np.intp)
     shapes = np.array([r["s"] for r in got], float).reshape(-1, SHAPES)
-    truths = np.array([r["y"] for r in got], int).reshape(-1, len(names))
+    truths = np.array([[-1 if y is None else y for y in r["y"]] for r in got], int).reshape(-1, len(names))
     return fit_chain(names, chosen, rows, cols, shapes, truths, np.array([r["fold"] for r in got], int), own_words)
 
 
@@ -171,13 +188,14 @@ def scored(docs: DataFrame, chain: Chain, text: str = "text", prefix: str = "p_"
     """``docs`` with a probability for each category, all in one pass over the texts; these columns take the
     place of others of their names."""
     docs = docs.drop(*[prefix + c for c in chain.names])
+    own = docs.select(F.struct(*[quoted(c) for c in docs.columns]).alias("row"), quoted(text).alias("text"))
 
     @F.arrow_udf("array<double>")
     def of(texts: pa.Array) -> pa.Array:
         return pa.array([chain.predict(t or "") for t in texts.to_pylist()], pa.list_(pa.float64()))
 
-    out = docs.withColumn("__p", of(F.col(text)))
-    return out.select(*docs.columns, *[F.get("__p", F.lit(j)).alias(prefix + c) for j, c in enumerate(chain.names)])
+    out = own.withColumn("p", of(F.col("text")))
+    return out.select("row.*", *[F.get("p", F.lit(j)).alias(prefix + c) for j, c in enumerate(chain.names)])
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,7 +13,7 @@ import corpus_pipeline
 from factloom.llm import quality as Q
 from factloom.llm import secrets as S
 from llm.test_quality import bins_of, plain
-from llm.test_simhash import slow_groups, slow_print
+from llm.test_near_copies import slow_keep
 
 SF = "/root/testdata/sf0.001"
 
@@ -37,12 +37,9 @@ def good(docs, labels):
 
 
 def distinct(docs):
-    prints = {i: slow_print(t, 5) for i, t, _ in docs}
-    groups = slow_groups(set(prints.values()))
-    least = {}
-    for i, f in prints.items():
-        least[groups[f]] = min(i, least.get(groups[f], i))
-    return [d for d in docs if least[groups[prints[d[0]]]] == d[0]]
+    """Similarity 0.8 or more of five-word shingles, by comparing all pairs."""
+    kept = set(slow_keep([(i, t) for i, t, _ in docs]))
+    return [d for d in docs if d[0] in kept]
 
 
 def cut(docs):
@@ -74,7 +71,7 @@ def masked(docs):
     for i, t, s in docs:
         parts, at = [], 0
         for a, _, z, v in found[i]:
-            live = len({o for o, _ in owners[v]}) <= S.MOST_OWNERS and len(owners[v]) <= S.MOST_REPOSITORIES and len(set(v)) >= S.LEAST_CHARACTERS
+            live = len({o for o, _ in owners[v]}) <= S.MOST_OWNERS and len(set(v)) >= S.LEAST_CHARACTERS
             if live and z > at:
                 parts += [t[at : max(at, a)], "[secret]"] if a >= at else []
                 at = z
@@ -109,3 +106,20 @@ def test_pipeline(spark):
 def test_run_gives_the_last_stage(spark):
     out = corpus_pipeline.run(spark, SF)
     assert {"doc_id", "piece", "sequence_id", "offset"} <= set(out.columns) and out.count() > 0
+
+
+def test_odd_rows(spark, tmp_path):
+    """Nulls, empty texts, repeated rows, columns named like inner ones, and tables without rows."""
+    good = [" ".join(f"w{(i * 37 + j * j) % 997}" for j in range(80)) for i in range(3)]
+    rows = [(1, good[0], "en", "s", 1, "m"), (1, good[0], "en", "s", 1, "m"), (None, good[1], None, None, None, None), (3, None, None, "s", None, "x"), (4, "", "en", None, 0, "y"), (5, good[2], "en", "s", 9, "z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, `__mark` string")
+    spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for some, want in ((docs, {1, None, 5}), (docs.limit(0), set())):
+        frame = some
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            frame = stage(spark, frame, str(tmp_path))
+            frame.write.mode("overwrite").parquet(f"{tmp_path}/{name}{len(want)}")
+            frame = spark.read.parquet(f"{tmp_path}/{name}{len(want)}")
+            assert frame.columns == docs.columns
+        assert {r["doc_id"] for r in frame.collect()} == want and frame.count() == len(want)
+        assert {r["doc_id"] for r in corpus_pipeline.STAGES[-1][1](spark, frame, str(tmp_path)).collect()} == want
