@@ -29,7 +29,7 @@ from .common import table
 SPACE = "▁"
 #: Kinds of pieces in a model file that matter here.
 USER_DEFINED, BYTE = 4, 6
-CACHED = 300_000
+CACHED, CACHED_BYTES = 300_000, 64 << 20
 SLICE = 4 << 20
 _SEGMENT = re.compile("[ ▁]*[^ ▁\n]+|[ ▁]+|\n+")
 
@@ -187,6 +187,7 @@ class Codec:
         inner = any(SPACE in s.lstrip(SPACE) or "\n" in s for s in names)
         self.by_segment = self.normalizer.identity and self.normalizer.dummy and not inner and kinds.count(BYTE) == 256 and len(pieces) < 1 << 16
         self.known: dict[str, tuple[str, bytes, bytes]] = {}
+        self.held = 0
 
     @staticmethod
     def of(path: str) -> Codec:
@@ -202,6 +203,7 @@ class Codec:
             ids = ids[:1] if s == " " else ids if s[0] == " " else ids[2:]
             width = [self.widths[i] for i in ids]
             self.known[s] = ",".join(map(str, ids)), np.array(ids, "<u2").tobytes(), np.array(width, "<u2").tobytes()
+            self.held += len(s) + 9 * len(ids)
 
     def encode(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, str]]:
         """For each text: ids, the pieces' widths in normalised bytes, and the ids in decimal with commas."""
@@ -213,8 +215,8 @@ class Codec:
             return
         # A space mark in the text is a space to the model.
         cut = [_SEGMENT.findall(" " + t.replace(SPACE, " ")) if t else [] for t in texts]
-        if len(self.known) > CACHED:
-            self.known = {}
+        if len(self.known) > CACHED or self.held > CACHED_BYTES:
+            self.known, self.held = {}, 0
         fresh = list({s for own in cut for s in own if s not in self.known})
         for at in range(0, len(fresh), 20_000):
             self._learn(fresh[at : at + 20_000])

@@ -24,10 +24,13 @@ Stages, each keyed so that no task holds an unbounded group:
 5. Blocks merge the intervals and cut.
 
 The blocks' exchange is the same in 1, 3 and 5, so the text is shuffled once.  Hashes only choose what is
-compared: every removal rests on equal bytes.
+compared: every removal rests on equal bytes.  A block packs what it sends to a reducer into one row, so the rows
+between stages never outnumber the hashes and segments in them, which grow in proportion to the text; reducers of
+stage 2 are fewer than blocks.
 
 Defined results: null text is empty; a null id neither covers nor is covered; rows with the same id do not
-cover each other; empty tables give empty results; extra columns pass through ``deduplicate``.
+cover each other, whether their texts are equal or not; texts of any length are read in overlapping chunks; empty tables
+give empty results; extra columns, whatever their names, pass through ``deduplicate``.
 """
 
 from __future__ import annotations
@@ -47,6 +50,8 @@ GRAM = 20
 #: Bytes of text handled at once inside a block, and of a block.
 CHUNK = 1 << 20
 BLOCK = 8 << 20
+#: Bytes of text whose hashes one reducer of stage 2 holds; a hash and what goes with it take about a byte of these.
+HASHED = 32 << 20
 #: Segments per batch of a level family.
 BATCH = 100_000
 #: Blocks that must hold a hash before its strings are dealt out by themselves.
@@ -277,8 +282,14 @@ def _shared(key: tuple, batch: pa.Table) -> pa.Table:
     return pa.table({"block": pa.array(cols[0], pa.int32()), "bucket": pa.array(cols[1], pa.int32()), "body": pa.array(cols[2], pa.binary())})
 
 
-def _segments_of_block(keys: tuple[str, str], text: str, buckets: int, length: int, gram: int) -> Callable:
-    """Stage 3: segments with shared hashes for the reducers, and what the block can settle itself."""
+def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
+    return ((h >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+
+
+def _segments_of_block(keys: tuple[str, str], text: str, buckets: int, length: int, gram: int, hash_buckets: int | None = None) -> Callable:
+    """Stage 3: segments with shared hashes for the reducers, and what the block can settle itself.  ``hash_buckets``:
+    the number of stage 2, where it differs."""
+    hash_buckets = hash_buckets or buckets
     import zstandard
 
     def run(key: tuple, docs: pa.Table, flags: pa.Table) -> pa.Table:
@@ -301,8 +312,8 @@ def _segments_of_block(keys: tuple[str, str], text: str, buckets: int, length: i
         n_seg = 0
         for pieces, data in _chunks(texts, length):
             h, rows, start, at, count = _runs(pieces, data, length, gram)
-            bucket = ((h >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
-            mark = (bucket << np.uint64(32)) | (h & np.uint64(0xFFFFFFFF))
+            bucket = _bucket(h, buckets)
+            mark = (_bucket(h, hash_buckets) << np.uint64(32)) | (h & np.uint64(0xFFFFFFFF))
             spot = np.minimum(np.searchsorted(shared, mark), max(0, len(shared) - 1))
             hit = shared[spot] == mark if len(shared) else np.zeros(len(h), bool)
             wide = hit & common[spot] if len(shared) else hit
@@ -315,7 +326,7 @@ def _segments_of_block(keys: tuple[str, str], text: str, buckets: int, length: i
                 rest = hit & ~wide
                 rows = np.r_[rows[rest], np.repeat(rows[wide], n)]
                 start = np.r_[start[rest], np.repeat(start[wide], n) + step]
-                bucket = np.r_[bucket[rest], ((h_w >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)]
+                bucket = np.r_[bucket[rest], _bucket(h_w, buckets)]
                 at, count = np.r_[at[rest], at_w], np.r_[count[rest], np.ones(len(at_w), count.dtype)]
             else:
                 rows, start, bucket, at, count = rows[hit], start[hit], bucket[hit], at[hit], count[hit]
@@ -511,10 +522,11 @@ def suffix_dedup(docs: DataFrame, finish: Callable, kept: list[str], key: str =
     keys = (key, mark)
     by_block = rows.groupBy("__block")
     body = "bucket int, block int, body binary"
-    sent = by_block.applyInArrow(_hashes_of_block(keys, text, buckets, length, gram), body)
+    hash_buckets = max(shuffle_partitions(spark), -(-total // HASHED))
+    sent = by_block.applyInArrow(_hashes_of_block(keys, text, hash_buckets, length, gram), body)
     # Dealt out by count, as the packed rows' sizes say little about the work in them.
-    flags = sent.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_shared, "block int, bucket int, body binary")
-    segments = by_block.cogroup(flags.groupBy("block")).applyInArrow(_segments_of_block(keys, text, buckets, length, gram), body)
+    flags = sent.repartition(hash_buckets, "bucket").groupBy("bucket").applyInArrow(_shared, "block int, bucket int, body binary")
+    segments = by_block.cogroup(flags.groupBy("block")).applyInArrow(_segments_of_block(keys, text, buckets, length, gram, hash_buckets), body)
     found = segments.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_match(length), "block int, body binary")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*kept).schema.fields)
     return by_block.cogroup(found.groupBy("block")).applyInArrow(_cut_block(keys, text, kept, finish), f"{fields}, {finish.ddl}")

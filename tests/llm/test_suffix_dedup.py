@@ -91,3 +91,14 @@ def test_level_family():
     assert family.add(keys(b"abd", b"zzz"), np.array([2, 2])).tolist() == [True, False]
     assert family.add(keys(b"zzz", b"abe"), np.array([2, 3])).tolist() == [False, False]
     assert sum(len(s) for s, _ in family.levels) == 4 and all((s[1:] > s[:-1]).all() for s, _ in family.levels)
+
+
+def test_more_blocks_than_hash_reducers_and_rows_wholly_alike(spark, monkeypatch):
+    """Blocks and the reducers of hashes differ in number; a third of the rows are one row many times."""
+    monkeypatch.setattr(S, "BLOCK", 1500)
+    rows = rows_of(11)
+    rows += [rows[40]] * 60
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    assert -(-sum(len((t or "").encode()) for _, t in rows) // S.BLOCK) > 8
+    got = sorted((tuple(r) for r in S.suffix_dedup(df, S._Digest(), ["doc_id"]).collect()), key=str)
+    assert got == brute(rows)
