@@ -35,8 +35,8 @@ from .common import checkpoint, constant, table
 
 CAPACITY = 4096
 END = 1
-#: Chunks whose ids a worker keeps, and bytes of them with their ids; it forgets all of them beyond either.
-CACHED, CACHED_BYTES = 1_000_000, 96 << 20
+#: Bytes of chunks, their ids and what Python adds to each (``ENTRY``) that a worker keeps; it forgets all beyond that.
+CACHED_BYTES, ENTRY = 48 << 20, 200
 #: Characters of text encoded at once.
 SLICE = 4 << 20
 #: Pieces of one length that are ranked in one window, about.
@@ -73,11 +73,12 @@ class ChunkEncoder:
             some = [c.decode() for c in fresh[at : at + 10_000]]
             for c, e in zip(fresh[at : at + 10_000], self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
                 known[c] = array("I", e.ids).tobytes()
+                self.held += len(c) + len(known[c]) + ENTRY
 
     def encode(self, texts: list[str]) -> list[bytes]:
         # The normaliser makes A-Z small and drops white space anyway; so it may be done first.
         chunks = [t.encode().lower().split() for t in texts]
-        if len(self.known) > CACHED or self.held > CACHED_BYTES:
+        if self.held > CACHED_BYTES:
             self.known, self.held = {}, 0
         known = self.known
         found = [list(map(known.get, own)) for own in chunks]
@@ -86,9 +87,10 @@ class ChunkEncoder:
         cut = {c: self.PIECES.findall(c) for c in fresh if c.isascii() and b"<|" not in c}
         self._learn(list({p for own in cut.values() for p in own if p not in known}))
         get = known.__getitem__
-        known.update({c: b"".join(map(get, own)) for c, own in cut.items() if len(own) > 1})
+        whole = {c: b"".join(map(get, own)) for c, own in cut.items() if len(own) > 1}
+        known.update(whole)
+        self.held += sum(len(c) + len(x) + ENTRY for c, x in whole.items())
         self._learn([c for c in fresh if c not in cut])
-        self.held += sum(len(c) + len(known[c]) for c in fresh)
         for own, f, hole in zip(chunks, found, holes, strict=True):
             for i in hole:
                 f[i] = known[own[i]]

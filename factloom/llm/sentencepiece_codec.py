@@ -29,7 +29,8 @@ from .common import table
 SPACE = "▁"
 #: Kinds of pieces in a model file that matter here.
 USER_DEFINED, BYTE = 4, 6
-CACHED, CACHED_BYTES = 300_000, 64 << 20
+#: Segments that a worker keeps, and bytes of them with what Python adds; it forgets all of them beyond either.
+CACHED, CACHED_BYTES = 300_000, 128 << 20
 SLICE = 4 << 20
 _SEGMENT = re.compile("[ ▁]*[^ ▁\n]+|[ ▁]+|\n+")
 
@@ -203,7 +204,7 @@ class Codec:
             ids = ids[:1] if s == " " else ids if s[0] == " " else ids[2:]
             width = [self.widths[i] for i in ids]
             self.known[s] = ",".join(map(str, ids)), np.array(ids, "<u2").tobytes(), np.array(width, "<u2").tobytes()
-            self.held += len(s) + 9 * len(ids)
+            self.held += 350 + len(s) + 9 * len(ids)
 
     def encode(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, str]]:
         """For each text: ids, the pieces' widths in normalised bytes, and the ids in decimal with commas."""
