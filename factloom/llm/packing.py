@@ -36,7 +36,7 @@ from .common import checkpoint, constant, table
 CAPACITY = 4096
 END = 1
 #: Bytes of chunks, their ids and what Python adds to each (``ENTRY``) that a worker keeps; it forgets all beyond that.
-CACHED_BYTES, ENTRY = 48 << 20, 200
+CACHED_BYTES, ENTRY = 96 << 20, 200
 #: Characters of text encoded at once.
 SLICE = 4 << 20
 #: Pieces of one length that are ranked in one window, about.
