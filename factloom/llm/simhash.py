@@ -189,16 +189,17 @@ def link_forest(prints: DataFrame, radius: int = RADIUS, cell: int = CELL) -> Da
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, root): the smallest node of each component, for nodes other than it.
 
-    Alternating large-star and small-star steps; every round is two aggregations and two joins, whose hot
-    keys the adaptive skew join splits, and ends in a checkpoint.
+    Alternating large-star and small-star steps; every round is two aggregations and two joins, and ends in a
+    checkpoint.  A component's smallest node may have a third of all edges: in the large star hot nodes meet their
+    edges by broadcast.  In the small star a node has no more edges than distinct minima among its neighbours.
     """
     edges = checkpoint(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    last = None
+    last, n = None, edges.count()
     for _ in range(most_rounds):
         # Large star: every larger neighbour of a node points to the node's smallest neighbour.
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        low = checkpoint(both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n"))
+        large = hot_join(both, low, "u", "n", 2 * n).where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         # Small star: a node and its smaller neighbours point to the smallest of them.
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -206,7 +207,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == last:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        last = now
+        last, n = now, now[0]
     raise RuntimeError("components did not settle")
 
 
