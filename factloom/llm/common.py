@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import functools
+import inspect
 import json
 import tempfile
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -57,6 +60,28 @@ def hot_join(rows: DataFrame, facts: DataFrame, key: str, count: str, total: int
     return rows.join(few, key).select(*far.columns).unionByName(far)
 
 
+def tidy(run: Callable) -> Callable:
+    """A worker's function that hands freed memory back to the system after each group: workers live on between
+    tasks, and several of an executor's would else hold what their largest group took."""
+
+    @functools.wraps(run)
+    def tidied(*args: object) -> object:
+        import ctypes
+
+        import pyarrow as pa
+
+        out = run(*args)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+        if trim:
+            trim(0)
+        return out
+
+    # Spark looks at the arguments: with a key, or of two groups.
+    tidied.__signature__ = inspect.signature(run)
+    return tidied
+
+
 def quoted(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 

@@ -3,10 +3,11 @@
 A byte goes if some ``length``-byte string (50) over it also starts in a document with a smaller id.  The
 strings of a document are compared as suffixes cut at 50 bytes:
 
-* ``LevelFamily`` is the index.  A new batch of suffixes, all from ids not smaller than those before, gets
-  its suffix array (sorted suffixes with the smallest id of each), is merge-scanned against every existing
-  level for equal 50-byte prefixes, and becomes a level itself; levels of about equal size merge, so there
-  are O(log n) of them and each suffix is merged O(log n) times.
+* ``LevelFamily`` is the index.  A new batch of texts, all from ids not smaller than those before, gets
+  its suffix array (starts of the suffixes in their order, with the smallest id of each), is merge-scanned
+  against every existing level for equal 50-byte prefixes, and becomes a level itself; levels of about equal
+  size merge, so there are O(log n) of them and each suffix is merged O(log n) times.  A family can be stored
+  (``dump``, ``load``) and take further batches.
 * To run many families side by side, suffixes are dealt out by the smallest hash among the 20-byte grams
   inside their 50 bytes (a minimizer).  Equal strings have equal minimizers, so no match is lost, and
   neighbouring suffixes mostly share one: a run of them travels as one segment of some 66 bytes.
@@ -43,12 +44,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import packed, shuffle_partitions, table, unpacked
+from .common import packed, shuffle_partitions, table, tidy, unpacked
 
 LENGTH = 50
 GRAM = 20
 #: Bytes of text handled at once inside a block, and of a block.
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 BLOCK = 8 << 20
 #: Bytes of text whose hashes one reducer of stage 2 holds; a hash and what goes with it take about a byte of these.
 HASHED = 32 << 20
@@ -156,40 +157,108 @@ def _unpacked(blob: bytes) -> list[np.ndarray]:
     return out
 
 
-class LevelFamily:
-    """Suffix arrays of geometrically growing size over strings of one width, each with its smallest id."""
+def _strings(text: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
+    """The ``length``-byte strings of the text that start there."""
+    return np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(text, length)[at]).view(f"S{length}").ravel()
+
+
+def _heads(keys: np.ndarray) -> np.ndarray:
+    """The first eight bytes of each string as a number, in the order of the strings."""
+    eight = np.zeros((len(keys), 8), np.uint8)
+    eight[:, : keys.itemsize] = keys.view(np.uint8).reshape(len(keys), -1)[:, :8]
+    return eight.view(">u8").ravel().astype(np.uint64)
+
+
+class SuffixArray:
+    """A level: a text, the starts of its distinct suffixes (as far as ``length`` bytes) in their order, the first
+    eight bytes of each, and the smallest id that holds it.  About 20 bytes a suffix beside the text."""
+
+    def __init__(self, text: np.ndarray, starts: np.ndarray, heads: np.ndarray, ids: np.ndarray, length: int) -> None:
+        self.text, self.heads, self.ids, self.length = text, heads, ids, length
+        self.starts = starts.astype(np.uint32 if len(text) < 1 << 32 else np.int64)
 
-    def __init__(self) -> None:
-        self.levels: list[tuple[np.ndarray, np.ndarray]] = []
+    def __len__(self) -> int:
+        return len(self.starts)
 
-    def add(self, keys: np.ndarray, ids: np.ndarray) -> np.ndarray:
-        """For each string, whether a smaller id holds it too.  Ids must not be below those added before."""
+    def keys(self, a: int, z: int) -> np.ndarray:
+        return _strings(self.text, self.starts[a:z], self.length)
+
+    def place(self, keys: np.ndarray, heads: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where each string stands or would stand, and whether it does; eight bytes first, then halving."""
+        low, high = np.searchsorted(self.heads, heads, "left"), np.searchsorted(self.heads, heads, "right")
+        todo = np.flatnonzero(low < high)
+        while len(todo):
+            middle = (low[todo] + high[todo]) >> 1
+            less = _strings(self.text, self.starts[middle], self.length) < keys[todo]
+            low[todo[less]], high[todo[~less]] = middle[less] + 1, middle[~less]
+            todo = todo[low[todo] < high[todo]]
+        same = np.zeros(len(keys), bool)
+        some = np.flatnonzero(low < len(self))
+        some = some[self.heads[low[some]] == heads[some]]
+        same[some] = _strings(self.text, self.starts[low[some]], self.length) == keys[some]
+        return low, same
+
+    def merged(self, other: SuffixArray) -> SuffixArray:
+        """Both levels as one; they have no string in common."""
+        at = [self.place(other.keys(a, a + BATCH), other.heads[a : a + BATCH])[0] for a in range(0, len(other), BATCH)]
+        at = np.concatenate(at)
+        starts = np.insert(self.starts.astype(np.int64), at, other.starts.astype(np.int64) + len(self.text))
+        text = np.concatenate([self.text, other.text])
+        return SuffixArray(text, starts, np.insert(self.heads, at, other.heads), np.insert(self.ids, at, other.ids), self.length)
+
+
+class LevelFamily:
+    """Suffix arrays of geometrically growing size, each suffix with its smallest id."""
+
+    def __init__(self, length: int = LENGTH) -> None:
+        self.length = length
+        self.levels: list[SuffixArray] = []
+
+    def add(self, text: np.ndarray, starts: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """For each of the text's strings, whether a smaller id holds it too.  Ids must not be below those added
+        before."""
+        if not len(starts):
+            return np.zeros(0, bool)
+        keys = _strings(text, starts, self.length)
         order = np.argsort(keys, kind="stable")
-        ordered, owners = keys[order], ids[order]
+        keys, owners = keys[order], ids[order]
         first = np.empty(len(keys), bool)
         first[:1] = True
-        first[1:] = ordered[1:] != ordered[:-1]
+        first[1:] = keys[1:] != keys[:-1]
         group = np.cumsum(first) - 1
-        suffixes = ordered[first]
-        smallest = np.minimum.reduceat(owners, np.flatnonzero(first)) if len(keys) else owners
-        known = np.zeros(len(suffixes), bool)
-        for level, holder in self.levels:  # merge-scan
-            at = np.minimum(np.searchsorted(level, suffixes), len(level) - 1)
-            same = level[at] == suffixes
-            known |= same
-            smallest = np.where(same, np.minimum(smallest, holder[at]), smallest)
-        if (~known).any():
-            self._push(suffixes[~known], smallest[~known])
+        suffixes, smallest = keys[first], np.minimum.reduceat(owners, np.flatnonzero(first))
+        heads = _heads(suffixes)
+        fresh = np.ones(len(suffixes), bool)
+        for level in self.levels:  # merge-scan; a string is in one level only
+            todo = np.flatnonzero(fresh)
+            at, same = level.place(suffixes[todo], heads[todo])
+            met = todo[same]
+            fresh[met] = False
+            smallest[met] = np.minimum(smallest[met], level.ids[at[same]])
+        if fresh.any():
+            self._push(SuffixArray(text, starts[order][first][fresh], heads[fresh], smallest[fresh], self.length))
         out = np.empty(len(keys), bool)
         out[order] = smallest[group] < owners
         return out
 
-    def _push(self, suffixes: np.ndarray, ids: np.ndarray) -> None:
-        while self.levels and len(self.levels[-1][0]) < 2 * len(suffixes):
-            other, theirs = self.levels.pop()
-            place = np.searchsorted(other, suffixes)
-            suffixes, ids = np.insert(other, place, suffixes), np.insert(theirs, place, ids)
-        self.levels.append((suffixes, ids))
+    def _push(self, level: SuffixArray) -> None:
+        while self.levels and len(self.levels[-1]) < 2 * len(level):
+            level = self.levels.pop().merged(level)
+        self.levels.append(level)
+
+    def dump(self) -> bytes:
+        """The levels, for ``load``: later batches of larger ids may join a stored family."""
+        return b"".join(len(part).to_bytes(8, "little") + part for x in self.levels if (part := _packed(x.text, x.starts, x.heads, x.ids)))
+
+    @staticmethod
+    def load(blob: bytes, length: int = LENGTH) -> LevelFamily:
+        out, at = LevelFamily(length), 0
+        while at < len(blob):
+            n = int.from_bytes(blob[at : at + 8], "little")
+            text, starts, heads, ids = _unpacked(blob[at + 8 : at + 8 + n])
+            out.levels.append(SuffixArray(text, starts, heads, ids, length))
+            at += 8 + n
+        return out
 
 
 def _rows_of(batch: pa.Table, keys: tuple[str, str], text: str) -> tuple[list[memoryview], np.ndarray, np.ndarray, np.ndarray]:
@@ -371,15 +440,13 @@ def _segments_of_block(keys: tuple[str, str], text: str, buckets: int, length: i
     return run
 
 
-def _suffixes(bodies: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray]:
-    """All length-byte strings of the segments as fixed-width keys, and the segment of each."""
-    data = np.frombuffer(b"".join(bodies), np.uint8)
+def _suffixes(bodies: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The segments' text, the starts of all length-byte strings inside them, and the segment of each."""
     size = np.array([len(b) for b in bodies])
     n = size - length + 1
     owner = np.repeat(np.arange(len(bodies)), n)
-    start = np.repeat(np.cumsum(size) - size - (np.cumsum(n) - n), n) + np.arange(n.sum())
-    keys = np.lib.stride_tricks.sliding_window_view(data, length)[start]
-    return np.ascontiguousarray(keys).view(f"S{length}").ravel(), owner
+    starts = np.repeat(np.cumsum(size) - size - (np.cumsum(n) - n), n) + np.arange(n.sum())
+    return np.frombuffer(b"".join(bodies), np.uint8), starts, owner
 
 
 def _match(length: int) -> Callable:
@@ -417,11 +484,11 @@ def _match(length: int) -> Callable:
             order = np.argsort(first, kind="stable")
             size = np.array([len(x) for x in held], np.int64)
             covered: list[np.ndarray] = [np.zeros(0, np.int64)] * len(held)
-            family = LevelFamily()
+            family = LevelFamily(length)
             for at in range(0, len(order), BATCH // 16):
                 some = order[at : at + BATCH // 16]
-                keys, seg = _suffixes([held[i] for i in some.tolist()], length)
-                hit = family.add(keys, first[some][seg])
+                body, starts, seg = _suffixes([held[i] for i in some.tolist()], length)
+                hit = family.add(body, starts, first[some][seg])
                 base = np.searchsorted(seg, np.arange(len(some)))
                 if hit.any():
                     # Runs of matching starts within a segment -> [start, end).
@@ -523,13 +590,13 @@ def suffix_dedup(docs: DataFrame, finish: Callable, kept: list[str], key: str =
     by_block = rows.groupBy("__block")
     body = "bucket int, block int, body binary"
     hash_buckets = max(shuffle_partitions(spark), -(-total // HASHED))
-    sent = by_block.applyInArrow(_hashes_of_block(keys, text, hash_buckets, length, gram), body)
+    sent = by_block.applyInArrow(tidy(_hashes_of_block(keys, text, hash_buckets, length, gram)), body)
     # Dealt out by count, as the packed rows' sizes say little about the work in them.
-    flags = sent.repartition(hash_buckets, "bucket").groupBy("bucket").applyInArrow(_shared, "block int, bucket int, body binary")
-    segments = by_block.cogroup(flags.groupBy("block")).applyInArrow(_segments_of_block(keys, text, buckets, length, gram, hash_buckets), body)
-    found = segments.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_match(length), "block int, body binary")
+    flags = sent.repartition(hash_buckets, "bucket").groupBy("bucket").applyInArrow(tidy(_shared), "block int, bucket int, body binary")
+    segments = by_block.cogroup(flags.groupBy("block")).applyInArrow(tidy(_segments_of_block(keys, text, buckets, length, gram, hash_buckets)), body)
+    found = segments.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(tidy(_match(length)), "block int, body binary")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*kept).schema.fields)
-    return by_block.cogroup(found.groupBy("block")).applyInArrow(_cut_block(keys, text, kept, finish), f"{fields}, {finish.ddl}")
+    return by_block.cogroup(found.groupBy("block")).applyInArrow(tidy(_cut_block(keys, text, kept, finish)), f"{fields}, {finish.ddl}")
 
 
 def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", *, length: int = LENGTH) -> DataFrame:

@@ -85,12 +85,26 @@ def test_deduplicate_keeps_columns_and_empty(spark):
 
 
 def test_level_family():
-    family = S.LevelFamily()
-    keys = lambda *x: np.array(x, "S3")
-    assert family.add(keys(b"abc", b"abd", b"abc"), np.array([1, 1, 2])).tolist() == [False, False, True]
-    assert family.add(keys(b"abd", b"zzz"), np.array([2, 2])).tolist() == [True, False]
-    assert family.add(keys(b"zzz", b"abe"), np.array([2, 3])).tolist() == [False, False]
-    assert sum(len(s) for s, _ in family.levels) == 4 and all((s[1:] > s[:-1]).all() for s, _ in family.levels)
+    """Against a dictionary, with a stored family that takes further batches."""
+    rng = np.random.default_rng(5)
+    for length in (3, 12):
+        family, least, n = S.LevelFamily(length), {}, 0
+        for i in range(60):
+            text = rng.integers(0, 2, int(rng.integers(length, 90)), dtype=np.uint8) * 97
+            starts = np.arange(len(text) - length + 1)
+            ids = np.sort(rng.integers(10 * i, 10 * i + 12, len(starts)))[rng.permutation(len(starts))] if i else np.zeros(len(starts), int)
+            ids = np.maximum(ids, n)
+            n = int(ids.max())
+            strings = [text[p : p + length].tobytes() for p in starts.tolist()]
+            for s, k in zip(strings, ids.tolist(), strict=True):
+                least[s] = min(k, least.get(s, k))
+            assert family.add(text, starts, ids).tolist() == [least[s] < k for s, k in zip(strings, ids.tolist(), strict=True)]
+            family = S.LevelFamily.load(family.dump(), length) if i % 7 == 3 else family
+        sizes = [len(x) for x in family.levels]
+        assert sum(sizes) == len(least) and all(a >= 2 * b for a, b in zip(sizes, sizes[1:], strict=False))
+        for level in family.levels:
+            keys = level.keys(0, len(level))
+            assert (keys[1:] > keys[:-1]).all() and all(least[bytes(k).ljust(length, b"\0")] == i for k, i in zip(keys, level.ids.tolist(), strict=True))
 
 
 def test_more_blocks_than_hash_reducers_and_rows_wholly_alike(spark, monkeypatch):
