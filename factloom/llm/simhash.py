@@ -182,7 +182,8 @@ def link_forest(prints: DataFrame, radius: int = RADIUS, cell: int = CELL) -> Da
     split = cells.join(parts, ["t", "cell"]).withColumn("part", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
     pair = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda o: F.struct(F.least(o, F.col("part")).alias("i"), F.greatest(o, F.col("part")).alias("j")))
     split = split.select("t", "cell", "fp", "part", F.explode(pair).alias("p")).select("t", "cell", "p.i", "p.j", "part", "fp")
-    crowded = split.groupBy("t", "cell", "i", "j").applyInArrow(_edges_of_cell(radius), "u long, v long")
+    # Dealt anew: else one task would take all pairs of blocks of a cell, as the join left them.
+    crowded = split.repartition("t", "cell", "i", "j").groupBy("t", "cell", "i", "j").applyInArrow(_edges_of_cell(radius), "u long, v long")
     return out.unionByName(crowded)
 
 
