@@ -37,6 +37,8 @@ CAPACITY = 4096
 END = 1
 #: Bytes of chunks, their ids and what Python adds to each (``ENTRY``) that a worker keeps; it forgets all beyond that.
 CACHED_BYTES, ENTRY = 96 << 20, 200
+#: The same where packing runs by itself, so that no later step needs the memory of its idle workers.
+CACHED_ALONE = 224 << 20
 #: Characters of text encoded at once.
 SLICE = 4 << 20
 #: Pieces of one length that are ranked in one window, about.
@@ -75,10 +77,10 @@ class ChunkEncoder:
                 known[c] = array("I", e.ids).tobytes()
                 self.held += len(c) + len(known[c]) + ENTRY
 
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def encode(self, texts: list[str], cached: int = CACHED_BYTES) -> list[bytes]:
         # The normaliser makes A-Z small and drops white space anyway; so it may be done first.
         chunks = [t.encode().lower().split() for t in texts]
-        if self.held > CACHED_BYTES:
+        if self.held > cached:
             self.known, self.held = {}, 0
         known = self.known
         found = [list(map(known.get, own)) for own in chunks]
@@ -106,7 +108,7 @@ def _slices(texts: list[str | None], most: int) -> Iterator[tuple[int, list[str]
             at, size = i + 1, 0
 
 
-def token_pieces(docs: DataFrame, key: str = "doc_id", text: str = "text", *, tokenizer: str | None = None, capacity: int = CAPACITY, end: int = END, with_ids: bool = False) -> DataFrame:
+def token_pieces(docs: DataFrame, key: str = "doc_id", text: str = "text", *, tokenizer: str | None = None, capacity: int = CAPACITY, end: int = END, with_ids: bool = False, cached: int = CACHED_BYTES) -> DataFrame:
     """(key, piece, start, length, ids_crc32[, ids]) of every document's ids and its end token."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,7 +122,7 @@ def token_pieces(docs: DataFrame, key: str = "doc_id", text: str = "text", *, to
         for batch in batches:
             for at, texts in _slices(batch.column(1).to_pylist(), SLICE):
                 rows, piece, start, length, crc, ids = [], [], [], [], [], []
-                for row, body in enumerate(encoder.encode(texts)):
+                for row, body in enumerate(encoder.encode(texts, cached)):
                     body += last
                     for n, a in enumerate(range(0, len(body), step)):
                         part = body[a : a + step]
@@ -297,11 +299,11 @@ def sequences(docs: DataFrame, key: str = "doc_id", text: str = "text", *, token
     return packed.groupBy("sequence_id").agg(own.alias("p")).select("sequence_id", F.flatten("p.ids").alias("ids"), F.transform("p", lambda x: x.dropFields("ids")).alias("parts"))
 
 
-def packed_pieces(docs: DataFrame, key: str = "doc_id", text: str = "text", *, tokenizer: str | None = None) -> DataFrame:
+def packed_pieces(docs: DataFrame, key: str = "doc_id", text: str = "text", *, tokenizer: str | None = None, cached: int = CACHED_BYTES) -> DataFrame:
     """Every piece with its place, without its ids."""
-    return pack(checkpoint(token_pieces(docs, key, text, tokenizer=tokenizer)), key)
+    return pack(checkpoint(token_pieces(docs, key, text, tokenizer=tokenizer, cached=cached)), key)
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in sequences of at most 4096 tokens."""
-    return packed_pieces(table(spark, sf_dir, "documents")).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+    return packed_pieces(table(spark, sf_dir, "documents"), cached=CACHED_ALONE).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
