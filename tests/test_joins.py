@@ -25,7 +25,7 @@ def broadcast(plan):
     return [line for line in plan.splitlines() if "BroadcastHashJoin" in line and "category" not in line]
 
 
-@pytest.mark.parametrize("name", ["source_refs", "truth_discovery", "candidates", "crh_fixpoint", "gain"])
+@pytest.mark.parametrize("name", ["source_refs", "truth_discovery", "candidates", "crh_fixpoint", "gain", "holes_topk"])
 def test_voting_joins_by_sorting(spark, sf_dir, planned, name):
     assert int(spark.conf.get("spark.sql.autoBroadcastJoinThreshold").removesuffix("b")) >= 10 << 20
     out = registry.QUERIES[name](spark, sf_dir)
