@@ -3,20 +3,22 @@
 import pytest
 
 from factloom.dims import attribute_specs
-from factloom.operators import vote
+from factloom.operators import copychain, vote
 from factloom.plans import registry
+from factloom.plans import resolve as R
 
 
 @pytest.fixture
 def planned(monkeypatch):
-    """Plans of all tables that voting writes."""
+    """Plans of all tables that the engine writes."""
     plans, write = [], vote.checkpoint
 
     def checkpoint(df):
         plans.append(df._jdf.queryExecution().executedPlan().toString())
         return write(df)
 
-    monkeypatch.setattr(vote, "checkpoint", checkpoint)
+    for module in (vote, copychain, R):
+        monkeypatch.setattr(module, "checkpoint", checkpoint)
     return plans
 
 
@@ -31,3 +33,9 @@ def test_voting_joins_by_sorting(spark, sf_dir, planned, name):
     out = registry.QUERIES[name](spark, sf_dir)
     planned.append(out._jdf.queryExecution().executedPlan().toString())
     assert len(planned) > 4 and not [x for p in planned for x in broadcast(p)]
+
+
+def test_resolving_joins_by_sorting(spark, sf_dir, planned):
+    out = R.resolve(spark, *registry._part_web(spark, sf_dir), now="2026-01-01T00:00:00Z")
+    planned += [out[name]._jdf.queryExecution().executedPlan().toString() for name in ("resolved", "documents", "ledger")]
+    assert len(planned) > 30 and not [x for p in planned for x in broadcast(p)]
