@@ -232,7 +232,7 @@ def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", *, wid
     one with the smallest key, nulls last, then the smallest text hash.  Of rows with equal key and text one stays."""
     nil = F.lit("0").cast(docs.schema[key].dataType)
     rows = packed(docs, key, text)
-    marked = near_copies.with_node(rows.select("key", "text"), "text", width)
+    marked = near_copies.with_node(rows.select("key", "text"), "text", width, least)
     marked = checkpoint(marked.select("key", F.xxhash64("text").alias("mark"), "__set.node", "__set.cells"))
     rough = components(near_copies.rough_edges(marked.select("node", "cells").dropDuplicates(["node"])))
     rough = rough.unionByName(rough.select(F.col("root").alias("node"), "root").distinct())

@@ -94,3 +94,61 @@ def test_stages_up_to_secrets(spark):
         frame = stage(spark, frame, SF).persist()
         want = plainly(want)
         assert sorted((r["doc_id"], r["text"], r["source"]) for r in frame.collect()) == sorted(want), name
+
+
+def alike(rng, n, least):
+    """Two sets of n hashes or fewer, hardly similar enough."""
+    b = n - int(rng.integers(0, int(n * (1 - least)) + 1))
+    s = int(np.ceil(least * (n + b) / (1 + least) - 1e-9))
+    base = np.unique(rng.integers(0, 1 << 63, n + b - min(s, b), dtype=np.uint64) * np.uint64(2))
+    return base[:n], np.unique(np.r_[base[: min(s, b)], base[n:]])
+
+
+def test_cells_are_bands_of_popcounts_at_distance_zero():
+    """Two sets share just those cells in whose bands their popcounts are the same and full, counted plainly."""
+    rng = np.random.default_rng(7)
+    met = 0
+    for n in (5, 9, 30, 100, 700):
+        for _ in range(10):
+            x, y = alike(rng, n, 0.8)
+            want = 0
+            tops = N._tops(0.8)
+            levels = [{i, i + 1} for i in (next(k for k, top in enumerate(tops) if len(z) <= top) for z in (x, y))]
+            for i in levels[0] & levels[1]:
+                if N._level(i, 0.8) is None:
+                    continue
+                m, bands, full = N._level(i, 0.8)
+                counts = []
+                for z in (x, y):
+                    own = {}
+                    for band in range(bands):
+                        deal = band // m
+                        places = [(int(h) * int(N._TIMES[deal]) + int(N._PLUS[deal])) % (1 << 64) for h in z]
+                        own[band] = sorted(p >> 16 for p in places if (p >> 32) * m >> 32 == band % m)
+                    counts.append(own)
+                want += sum(counts[0][b] == counts[1][b] and len(counts[0][b]) >= full for b in range(bands))
+            assert len(set(N.cells_of(x)) & set(N.cells_of(y))) == want > 0
+            met += want
+    assert met
+
+
+def test_cells_meet_at_any_bound():
+    rng = np.random.default_rng(8)
+    for least in (0.6, 0.8, 0.9):
+        for n in (6, 20, 60, 250):
+            for _ in range(150):
+                x, y = alike(rng, n, least)
+                if len(x) != len(y) or (x != y).any():
+                    assert set(N.cells_of(x, least)) & set(N.cells_of(y, least)), (least, n)
+
+
+def test_manhattan_distance_is_tested_first_and_loses_nothing():
+    docs = copies(9, 25, 7)
+    sets = [N.shingle_set(t, 5) for _, t in docs]
+    for least in (0.5, 0.8):
+        parent = list(range(len(docs)))
+        root = lambda i: i if parent[i] == i else root(parent[i])  # noqa: B023, E731
+        for i, j in N.forest(sets, least):
+            x, y = sorted((root(i), root(j)))
+            parent[y] = x
+        assert [i for i in range(len(docs)) if root(i) == i] == slow_keep(docs, least)
