@@ -9,7 +9,7 @@ share is spread.  Full pieces are sequences by themselves.
 
 Tokens: a text's ids are those of its chunks between ASCII white space, because the tokenizer's normaliser,
 splitter and special tokens never reach over it; and a chunk's are those of the splitter's pieces.  Each worker
-keeps the ids of the chunks and pieces it has met, up to a bound, and encodes the rest in batches.
+keeps the ids of the chunks and pieces it has met, up to a bound, and encodes the rest in batches, many as one text.
 
 Defined results: a null text is empty and still has its end token; a null key is a key like others; repeated
 rows are packed separately, ties in rank go by key, piece and checksum; an empty table gives no sequences; other
@@ -25,9 +25,11 @@ import zlib
 from array import array
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -39,11 +41,17 @@ END = 1
 CACHED_BYTES, ENTRY = 96 << 20, 200
 #: The same where packing runs by itself, so that no later step needs the memory of its idle workers.
 CACHED_ALONE = 224 << 20
-#: Characters of text encoded at once.
+#: Bytes of text encoded at once.
 SLICE = 4 << 20
+#: Chunks that the tokenizer gets as one text, and chunks whose ids are gathered at once.
+TOGETHER, GATHERED = 2000, 1 << 17
 #: Pieces of one length that are ranked in one window, about.
 RANKED = 100_000
 
+#: Stands for the end of a chunk among ids; the ids of a blank and of an empty text.
+GAP = 0xFFFFFFFF
+NOTHING = {b" ": array("I", [GAP]).tobytes(), b"": b""}
+
 assert sys.byteorder == "little" and array("I").itemsize == 4
 
 _encoders: dict[str, ChunkEncoder] = {}
@@ -52,16 +60,21 @@ _encoders: dict[str, ChunkEncoder] = {}
 class ChunkEncoder:
     """Ids of whole texts, as little-endian unsigned 32-bit bytes."""
 
-    #: The splitter's pieces, for ASCII text in lower case.
-    PIECES = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
+    #: The splitter's pieces, for ASCII text in lower case, and the blanks between chunks.
+    PIECES = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]| |[^a-z0-9 ]+")
+    #: A chunk that is one token.
+    MARK = b"~"
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, bytes] = {}
+        self.known: dict[bytes, bytes] = dict(NOTHING)
         self.held = 0
+        (self.mark,) = self.tokenizer.encode(self.MARK.decode(), add_special_tokens=False).ids
+        self.ending = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.ending[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
 
     @staticmethod
     def of(path: str) -> ChunkEncoder:
@@ -69,43 +82,80 @@ class ChunkEncoder:
             _encoders[path] = ChunkEncoder(path)
         return _encoders[path]
 
-    def _learn(self, fresh: list[bytes]) -> None:
+    def _ids(self, some: list[bytes], pieces: bool) -> list[bytes]:
+        """Ids of each chunk: encoded as one text, as a call costs more than a chunk.  Each of the splitter's pieces has
+        one token that ends it, its last; behind other chunks stands ``MARK``."""
+        whole = b" ".join(some) if pieces else (b" " + self.MARK + b" ").join([*some, b""])
+        ids = np.array(self.tokenizer.encode_batch_fast([whole.decode()], add_special_tokens=False)[0].ids, "<u4")
+        last = np.flatnonzero(self.ending[ids] if pieces else ids == self.mark)
+        if len(last) != len(some):  # a chunk has the mark's id itself
+            return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast([c.decode() for c in some], add_special_tokens=False)]
+        body, ends = ids.tobytes(), (4 * last + 4).tolist()
+        drop = 0 if pieces else 4
+        return [body[a : z - drop] for a, z in zip([0, *ends[:-1]], ends, strict=True)]
+
+    def _learn(self, fresh: list[bytes], pieces: bool) -> None:
+        for at in range(0, len(fresh), TOGETHER):
+            some = fresh[at : at + TOGETHER]
+            self._keep(some, self._ids(some, pieces))
+
+    def _keep(self, some: list[bytes], ids: list[bytes]) -> None:
+        self.known.update(zip(some, ids, strict=True))
+        self.held += sum(map(len, some)) + sum(map(len, ids)) + ENTRY * len(some)
+
+    def _of_chunks(self, chunks: list[bytes]) -> list[bytes]:
+        """Ids of each of these chunks, all different."""
         known = self.known
-        for at in range(0, len(fresh), 10_000):
-            some = [c.decode() for c in fresh[at : at + 10_000]]
-            for c, e in zip(fresh[at : at + 10_000], self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                known[c] = array("I", e.ids).tobytes()
-                self.held += len(c) + len(known[c]) + ENTRY
-
-    def encode(self, texts: list[str], cached: int = CACHED_BYTES) -> list[bytes]:
-        # The normaliser makes A-Z small and drops white space anyway; so it may be done first.
-        chunks = [t.encode().lower().split() for t in texts]
+        found = list(map(known.get, chunks))
+        fresh = [c for c, x in zip(chunks, found, strict=True) if x is None]
+        plain = [c for c in fresh if c.isascii() and b"<|" not in c]
+        # One list of the pieces and the gaps between chunks: a list for each chunk would keep the garbage collector busy.
+        for at in range(0, len(plain), 5 * TOGETHER):
+            some = plain[at : at + 5 * TOGETHER]
+            pieces = self.PIECES.findall(b" ".join([*some, b""]))
+            self._learn([p for p in set(pieces) if p not in known], True)
+            ids = np.frombuffer(b"".join(map(known.__getitem__, pieces)), "<u4")
+            ends = np.flatnonzero(ids == GAP) * 4
+            body = ids.tobytes()
+            own = [body[a:z] for a, z in zip([0, *(ends[:-1] + 4).tolist()], ends.tolist(), strict=True)]
+            several = [c not in known for c in some]
+            self._keep(list(compress(some, several)), list(compress(own, several)))
+        self._learn([c for c in fresh if c not in known], False)
+        return [known[c] if x is None else x for c, x in zip(chunks, found, strict=True)]
+
+    def encode(self, texts: pa.Array, cached: int = CACHED_BYTES) -> list[bytes]:
+        """Each text's ids; Arrow cuts the texts and finds the different chunks, which alone cross to Python."""
         if self.held > cached:
-            self.known, self.held = {}, 0
-        known = self.known
-        found = [list(map(known.get, own)) for own in chunks]
-        holes = [[i for i, x in enumerate(f) if x is None] if None in f else [] for f in found]
-        fresh = {own[i] for own, hole in zip(chunks, holes, strict=True) for i in hole}
-        cut = {c: self.PIECES.findall(c) for c in fresh if c.isascii() and b"<|" not in c}
-        self._learn(list({p for own in cut.values() for p in own if p not in known}))
-        get = known.__getitem__
-        whole = {c: b"".join(map(get, own)) for c, own in cut.items() if len(own) > 1}
-        known.update(whole)
-        self.held += sum(len(c) + len(x) + ENTRY for c, x in whole.items())
-        self._learn([c for c in fresh if c not in cut])
-        for own, f, hole in zip(chunks, found, holes, strict=True):
-            for i in hole:
-                f[i] = known[own[i]]
-        return [b"".join(f) for f in found]
-
-
-def _slices(texts: list[str | None], most: int) -> Iterator[tuple[int, list[str]]]:
-    at = size = 0
-    for i, t in enumerate(texts):
-        size += len(t or "")
-        if size >= most or i + 1 == len(texts):
-            yield at, [x or "" for x in texts[at : i + 1]]
-            at, size = i + 1, 0
+            self.known, self.held = dict(NOTHING), 0
+        # The normaliser makes A-Z small and drops white space anyway; so it may be done first.
+        own = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+        words = own.flatten().dictionary_encode()
+        # Joined and split again, as Arrow is slow to make many Python objects; no chunk holds a blank.
+        different = words.dictionary.cast(pa.binary())
+        line = pc.binary_join(pa.ListArray.from_arrays([0, len(different)], different), b" ").to_pylist()[0]
+        found = self._of_chunks(line.split(b" ") if len(different) else [])
+        ids = np.frombuffer(b"".join(found), "<u4")
+        size = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        first = np.cumsum(size) - size
+        word = words.indices.to_numpy(zero_copy_only=False)
+        ends = np.r_[0, np.cumsum(size[word])]
+        out = np.empty(ends[-1], "<u4")
+        for at in range(0, len(word), GATHERED):
+            part = word[at : at + GATHERED]
+            upto = ends[at : at + len(part) + 1]
+            out[upto[0] : upto[-1]] = ids[np.repeat(first[part] - upto[:-1], size[part]) + np.arange(upto[0], upto[-1])]
+        places = ends[np.r_[0, np.cumsum(pc.list_value_length(own).to_numpy(zero_copy_only=False))]].tolist()
+        return [out[a:z].tobytes() for a, z in zip(places, places[1:])]
+
+
+def _slices(texts: pa.Array, most: int) -> Iterator[tuple[int, pa.Array]]:
+    """Runs of texts of ``most`` bytes, or one text more."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(texts):
+        upto = min(len(texts), int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most)) + 1)
+        yield at, texts.slice(at, upto - at)
+        at = upto
 
 
 def token_pieces(docs: DataFrame, key: str = "doc_id", text: str = "text", *, tokenizer: str | None = None, capacity: int = CAPACITY, end: int = END, with_ids: bool = False, cached: int = CACHED_BYTES) -> DataFrame:
@@ -120,7 +170,7 @@ def token_pieces(docs: DataFrame, key: str = "doc_id", text: str = "text", *, to
         encoder, last = ChunkEncoder.of(str(path)), np.array([end], "<u4").tobytes()
         step = 4 * capacity
         for batch in batches:
-            for at, texts in _slices(batch.column(1).to_pylist(), SLICE):
+            for at, texts in _slices(batch.column(1), SLICE):
                 rows, piece, start, length, crc, ids = [], [], [], [], [], []
                 for row, body in enumerate(encoder.encode(texts, cached)):
                     body += last

@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 from tokenizers import Tokenizer
 
 from factloom.llm import packing as P
@@ -105,3 +106,43 @@ def test_large_counts_near_the_volume_bound():
     lengths = np.minimum(4096, rng.lognormal(6, 1, 200_000).astype(int) + 1)
     count = np.bincount(lengths, minlength=4097) * 1_000_000
     assert check(count, 4096) <= 1.001 * -(-(count * np.arange(4097)).sum() // 4096)
+
+
+class Counted:
+    """A tokenizer that counts the texts it gets."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer, self.texts = tokenizer, 0
+
+    def encode_batch_fast(self, texts, **more):
+        self.texts += len(texts)
+        return self.tokenizer.encode_batch_fast(texts, **more)
+
+
+def whole(texts):
+    t = Tokenizer.from_file(str(public_tokenizers.path("word_bpe_49k.json")))
+    return [t.encode(x or "", add_special_tokens=False).ids for x in texts]
+
+
+def encoded(texts):
+    """Ids of each text, and how many texts the tokenizer itself got for them."""
+    encoder = P.ChunkEncoder(str(public_tokenizers.path("word_bpe_49k.json")))
+    encoder.tokenizer = counted = Counted(encoder.tokenizer)
+    bodies = [b for _, some in P._slices(pa.array(texts, pa.string()), 1 << 12) for b in encoder.encode(some)]
+    return [np.frombuffer(b, "<u4").tolist() for b in bodies], counted.texts
+
+
+def test_many_chunks_are_encoded_as_one_text():
+    texts = [" ".join(f"w{i}x{j}é" if j % 3 else f"w{i}x{j}'s," for j in range(50)) for i in range(200)]
+    got, calls = encoded(texts)
+    assert got == whole(texts)
+    assert calls < 400
+
+
+def test_chunks_with_the_mark_and_other_odd_ones():
+    odd = ["~", "é~", "~é ~ ~~ é", "é ~ ü", "</w> é</w>", "photography", "\x85 é\x85~ a", "a\x00b \x1c\x1d \x7fé", "<| ~ <|endoftext|>~ é<|startoftext|>", "' 's '' é's", "́ é~ ́", "\v\f~\r\n", "４２ ½~", "  ", "", None]
+    assert encoded(odd)[0] == whole(odd)
+    rng = random.Random(5)
+    parts = ["~", "é", "a", "'s", "7", " ", "\n", "<|", "|>", "́", "&", "İ", "ς", "‍", "\x1f", "</w>"]
+    texts = ["".join(rng.choices(parts, k=rng.randint(0, 30))) for _ in range(1500)]
+    assert encoded(texts)[0] == whole(texts)
