@@ -60,21 +60,26 @@ def hot_join(rows: DataFrame, facts: DataFrame, key: str, count: str, total: int
     return rows.join(few, key).select(*far.columns).unionByName(far)
 
 
+def release() -> None:
+    """Hands freed memory of a worker back to the system: workers live on between tasks, and several of an executor's
+    would else hold what their largest group took."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim:
+        trim(0)
+
+
 def tidy(run: Callable) -> Callable:
-    """A worker's function that hands freed memory back to the system after each group: workers live on between
-    tasks, and several of an executor's would else hold what their largest group took."""
+    """A worker's function that releases memory after each group."""
 
     @functools.wraps(run)
     def tidied(*args: object) -> object:
-        import ctypes
-
-        import pyarrow as pa
-
         out = run(*args)
-        pa.default_memory_pool().release_unused()
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
-        if trim:
-            trim(0)
+        release()
         return out
 
     # Spark looks at the arguments: with a key, or of two groups.

@@ -33,13 +33,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import checkpoint, constant, table
+from .common import checkpoint, constant, release, table
 
 CAPACITY = 4096
 END = 1
 #: Bytes of chunks, their ids and what Python adds to each (``ENTRY``) that a worker keeps; it forgets all beyond that.
 CACHED_BYTES, ENTRY = 96 << 20, 200
-#: The same where packing runs by itself, so that no later step needs the memory of its idle workers.
+#: The same where packing runs by itself, so that no later step needs the memory of its idle workers, and a worker keeps
+#: all for its next task.
 CACHED_ALONE = 224 << 20
 #: Bytes of text encoded at once.
 SLICE = 4 << 20
@@ -189,6 +190,11 @@ def token_pieces(docs: DataFrame, key: str = "doc_id", text: str = "text", *, to
                     cols.append(pa.array(ids, pa.list_(pa.int32())))
                     names.append("ids")
                 yield pa.record_batch(cols, names)
+        if cached <= CACHED_BYTES:
+            # Other steps go on in this worker: it keeps neither tokenizer nor ids beyond the task.
+            del encoder
+            _encoders.pop(str(path), None)
+            release()
 
     kind = docs.schema[key].dataType.simpleString()
     ddl = f"`{key}` {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids

@@ -1,8 +1,10 @@
 """The pipeline's near-duplicates against brute force over all pairs."""
 
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 
 from factloom.llm import near_copies as N
 from factloom.llm import simhash as S
@@ -152,3 +154,17 @@ def test_manhattan_distance_is_tested_first_and_loses_nothing():
             x, y = sorted((root(i), root(j)))
             parent[y] = x
         assert [i for i in range(len(docs)) if root(i) == i] == slow_keep(docs, least)
+
+
+def test_a_worker_holds_the_cells_of_a_batch_as_plain_numbers():
+    texts = [t for _, t in copies(6, 60, 9)] + [None, "", " \n", "a b"]
+    tracemalloc.start()
+    got = N._nodes(pa.array(texts, pa.string()), 5, 0.8)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    sets = [N.shingle_set(t, 5) for t in texts]
+    want = [N.cells_of(s, 0.8) for s in sets]
+    assert got.field("node").to_pylist() == [N.node_of(s) for s in sets] and got.field("cells").to_pylist() == want
+    # As Python numbers each took 40 bytes.
+    assert most < 24 * sum(map(len, want)) + 500_000
+    assert N._nodes(pa.array([], pa.string()), 5, 0.8).type == got.type

@@ -146,3 +146,14 @@ def test_chunks_with_the_mark_and_other_odd_ones():
     parts = ["~", "é", "a", "'s", "7", " ", "\n", "<|", "|>", "́", "&", "İ", "ς", "‍", "\x1f", "</w>"]
     texts = ["".join(rng.choices(parts, k=rng.randint(0, 30))) for _ in range(1500)]
     assert encoded(texts)[0] == whole(texts)
+
+
+def test_a_worker_of_the_pipeline_keeps_no_encoder(spark, monkeypatch):
+    """Steps that follow in the same worker need its memory."""
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(TEXTS)], "doc_id long, text string")
+    batch = pa.record_batch({"doc_id": pa.array(range(len(TEXTS))), "text": pa.array(TEXTS, pa.string())})
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, run, ddl: run)
+    for cached, kept in ((P.CACHED_BYTES, 0), (P.CACHED_ALONE, 1)):
+        monkeypatch.setattr(P, "_encoders", {})
+        assert sum(b.num_rows for b in P.token_pieces(docs, cached=cached)(iter([batch, batch]))) >= 2 * len(TEXTS)
+        assert len(P._encoders) == kept
