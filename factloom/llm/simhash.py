@@ -13,7 +13,8 @@ tested first and the Hamming distance verifies.
 Only distinct fingerprints go to the grid, so copies of any number cost one row.  A cell returns a spanning
 forest of its links, not its pairs.  A cell with more than ``CELL`` fingerprints is compared in blocks: each
 pair of blocks is a task of its own, so nothing is capped.  Components then grow by large-star and
-small-star steps over the forest's edges, with a checkpoint between rounds.
+small-star steps over the forest's edges, with a checkpoint between rounds; from ``SMALL`` edges on, one
+task settles what is left.
 
 Defined results: null and blank texts have fingerprint zero and link like any other; rows with a null id get
 the component of their fingerprint (null if no row there has an id); repeated rows stay.
@@ -30,12 +31,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import near_copies
-from .common import checkpoint, hot_join, packed, table, unpacked
+from .common import checkpoint, hot_join, packed, release, table, unpacked
 
 SEED = 42
 RADIUS = 4
 SEGMENTS = 32
 CELL = 8192
+#: So many edges are 4 MB.  A round deals edges out some ten times, and each task of it leaves files of a disk block each.
+SMALL = 1 << 18
 
 
 def fingerprint(text: str | None, width: int) -> int:
@@ -187,16 +190,40 @@ def link_forest(prints: DataFrame, radius: int = RADIUS, cell: int = CELL) -> Da
     return out.unionByName(crowded)
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def _settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, root) of a whole graph, by union and find."""
+    ends = [np.stack([b.column(i).to_numpy() for i in range(2)]) for b in batches]
+    names, at = np.unique(np.concatenate([np.empty((2, 0), np.int64), *ends], axis=1), return_inverse=True)
+    parent = list(range(len(names)))
+
+    def root(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    for i, j in at.reshape(2, -1).T.tolist():
+        x, y = root(i), root(j)
+        parent[max(x, y)] = min(x, y)  # names are sorted, so a root is the smallest
+    roots = np.array([root(i) for i in range(len(names))], np.int64)
+    other = roots != np.arange(len(names))
+    yield pa.record_batch({"node": pa.array(names[other]), "root": pa.array(names[roots[other]])})
+    release()
+
+
+def components(edges: DataFrame, most_rounds: int = 60, few: int = SMALL) -> DataFrame:
     """(node, root): the smallest node of each component, for nodes other than it.
 
-    Alternating large-star and small-star steps; every round is two aggregations and two joins, and ends in a
-    checkpoint.  A component's smallest node may have a third of all edges: in the large star hot nodes meet their
-    edges by broadcast.  In the small star a node has no more edges than distinct minima among its neighbours.
+    A graph of at most ``few`` edges is settled in one task.  A larger one shrinks first, by alternating large-star and
+    small-star steps; every round is two aggregations and two joins, and ends in a checkpoint.  A component's smallest
+    node may have a third of all edges: in the large star hot nodes meet their edges by broadcast.  In the small star a
+    node has no more edges than distinct minima among its neighbours.
     """
     edges = checkpoint(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     last, n = None, edges.count()
     for _ in range(most_rounds):
+        if n <= few:
+            return checkpoint(edges.coalesce(1).mapInArrow(_settled, "node long, root long"))
         # Large star: every larger neighbour of a node points to the node's smallest neighbour.
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = checkpoint(both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n"))

@@ -1,5 +1,6 @@
 """Against brute force over all pairs."""
 
+import os
 import random
 
 import numpy as np
@@ -7,6 +8,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from factloom.llm import simhash as S
+from factloom.llm.common import checkpoint_folder
 
 
 def slow_print(text, width):
@@ -98,3 +100,21 @@ def test_deduplicate(spark):
     got = S.deduplicate(spark.createDataFrame(rows, "doc_id long, text string, __x string")).collect()
     assert sorted((r["doc_id"], r["__x"]) for r in got if r["doc_id"]) == [(1, "q"), (2, "r"), (4, "u")] and [r["__x"] for r in got if r["doc_id"] is None] == ["s"]
     assert S.deduplicate(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_few_edges_are_settled_without_rounds(spark):
+    rng = random.Random(5)
+    pairs = [(i, i + 1) for i in range(0, 300)] + [(rng.randrange(1000, 1400), rng.randrange(1000, 1400)) for _ in range(190)] + [(-5, 7), (2000, 2000)]
+    edges = spark.createDataFrame(pairs, "u long, v long").repartition(5)
+    root = {x: x for p in pairs for x in p}
+    for _ in root:
+        for u, v in pairs:
+            root[u] = root[v] = min(root[u], root[v])
+    folder = checkpoint_folder(spark).removeprefix("file:")
+    before = len(os.listdir(folder))
+    got = {r["node"]: r["root"] for r in S.components(edges).collect()}
+    assert len(os.listdir(folder)) - before == 2  # the edges and the result; rounds write two more each
+    assert got == {x: r for x, r in root.items() if x != r}
+    assert {r["node"]: r["root"] for r in S.components(edges, few=0).collect()} == got
+    assert {r["node"]: r["root"] for r in S.components(edges, few=350).collect()} == got
+    assert not S.components(edges.limit(0)).collect()
