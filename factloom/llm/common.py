@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import gc
 import inspect
 import json
 import tempfile
@@ -40,6 +41,13 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def sweep(spark: SparkSession) -> None:
+    """Lets Spark remove the shuffle files of frames that nothing refers to any more: it learns of them only when the
+    driver's garbage is collected, which in a quiet driver may be long after."""
+    gc.collect()  # Python's handles first: they keep the JVM's frames
+    spark.sparkContext._jvm.System.gc()
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import near_copies
-from .common import checkpoint, hot_join, packed, release, table, unpacked
+from .common import checkpoint, hot_join, packed, release, sweep, table, unpacked
 
 SEED = 42
 RADIUS = 4
@@ -220,6 +220,7 @@ def components(edges: DataFrame, most_rounds: int = 60, few: int = SMALL) -> Dat
     node has no more edges than distinct minima among its neighbours.
     """
     edges = checkpoint(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    sweep(edges.sparkSession)  # the shuffles that found the edges are the largest
     last, n = None, edges.count()
     for _ in range(most_rounds):
         if n <= few:

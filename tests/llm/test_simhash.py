@@ -2,13 +2,14 @@
 
 import os
 import random
+import time
 
 import numpy as np
 import xxhash
 from pyspark.sql import functions as F
 
 from factloom.llm import simhash as S
-from factloom.llm.common import checkpoint_folder
+from factloom.llm.common import checkpoint_folder, sweep
 
 
 def slow_print(text, width):
@@ -118,3 +119,17 @@ def test_few_edges_are_settled_without_rounds(spark):
     assert {r["node"]: r["root"] for r in S.components(edges, few=0).collect()} == got
     assert {r["node"]: r["root"] for r in S.components(edges, few=350).collect()} == got
     assert not S.components(edges.limit(0)).collect()
+
+
+def test_sweep_removes_shuffle_files_of_frames_that_are_gone(spark):
+    files = lambda: spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().size()
+    df = spark.range(1000).repartition(9)
+    assert df.count() == 1000
+    had = files()
+    del df
+    sweep(spark)
+    for _ in range(50):
+        if files() < had:
+            break
+        time.sleep(0.1)
+    assert files() < had
