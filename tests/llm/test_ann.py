@@ -53,3 +53,18 @@ def test_common_vector_in_chunks(spark):
     want = brute(list(range(9000)), x.astype(np.float64), [0, 1, 2])
     own = [r["id"] for r in sorted(got, key=lambda r: r["rank"]) if r["query"] == 0]
     assert own == [i for _, i in want[0]] and recall(got, want) >= 0.9
+
+
+def test_nearest_of_rows_unlike_the_table(spark):
+    rng = np.random.default_rng(2)
+    wide = rng.normal(size=(3000, 256))
+    # One dense spot of 1,000 vectors whose codes are all alike, far from the rest.
+    dense = np.concatenate([rng.normal(size=(2000, 16)) * 100, 7 + rng.normal(size=(1000, 16)) * 1e-3])
+    moved = rng.normal(size=(2000, 8)) + 1e7
+    sizes = rng.normal(size=(2000, 32)) * np.exp(rng.normal(size=(2000, 1)) * 4)
+    for x in (wide, dense, moved, sizes):
+        ids = rng.permutation(len(x)).tolist()
+        df = spark.createDataFrame([(i, v.tolist()) for i, v in zip(ids, x, strict=True)], "vec_id long, embedding array<double>")
+        got = A.search(df, F.col("vec_id") % 100 == 0).collect()
+        want = brute(ids, x, [i for i in ids if i % 100 == 0])
+        assert recall(got, want) == 1.0, len(x)
